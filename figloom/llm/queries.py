@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figloom.llm import components, cutoff
-from figloom.session import table
+from figloom.llm import components, cutoff, mixture, mojibake, tokenise
+from figloom.session import durable, table
 
 
 def _split_targets(spark: SparkSession, d: str) -> list[tuple[str, float]]:
@@ -54,8 +54,34 @@ def p6_cutoffs(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.cutoffs(cutoff.scored(table(spark, d, "candidates")), table(spark, d, "cutoff_targets"))
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenise.encode(table(spark, d, "documents"))
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sizes = mixture.sized(table(spark, d, "documents"))
+    plan = durable(mixture.rates(sizes, table(spark, d, "mix_targets")), "plan")
+    return mixture.mix(sizes, plan), plan
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.report(*_mix(spark, d))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.found_ids(table(spark, d, "documents"))
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restore(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p1_report, p1_incremental, p6_found, p6_cutoffs)
+    f.__name__: f for f in (p1_found, p1_splits, p1_report, p1_incremental, p6_found, p6_cutoffs, p7_ids, p8_mix, p8_report, p9_found, p9_restored)
 }
 
 _P6 = """
