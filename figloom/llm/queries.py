@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figloom.llm import components, cutoff, mixture, mojibake, tokenise
+from figloom.llm import components, cutoff, mixture, mojibake, pairs, tokenise
 from figloom.session import durable, table
 
 
@@ -44,6 +44,26 @@ def p1_incremental(spark: SparkSession, d: str) -> DataFrame:
     return components.split_report(splits, table(spark, d, "split_targets"))
 
 
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    sft = table(spark, d, "scientific_cot_sft_stream")
+    capt = table(spark, d, "captions")
+    return sft.select(
+        F.lit("scientific_cot_sft_stream").alias("table_name"), F.col("sft_id").alias("row_id"),
+        F.col("input").alias("question"), F.col("output").alias("answer"),
+    ).unionByName(capt.select(
+        F.lit("captions").alias("table_name"), "row_id",
+        F.col("science_abstract_prompt").alias("question"), F.col("sci-RCoT").alias("answer"),
+    ))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(_pairs(spark, d), pairs.fit(table(spark, d, "documents")))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return p5_found(spark, d).groupBy("table_name", "defect").agg(F.count("*").alias("n"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     records = cutoff.scored(table(spark, d, "candidates"))
     chosen = cutoff.cutoffs(records, table(spark, d, "cutoff_targets"))
@@ -81,7 +101,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p1_report, p1_incremental, p6_found, p6_cutoffs, p7_ids, p8_mix, p8_report, p9_found, p9_restored)
+    f.__name__: f for f in (p1_found, p1_splits, p1_report, p1_incremental, p5_found, p5_report, p6_found, p6_cutoffs, p7_ids, p8_mix, p8_report, p9_found, p9_restored)
 }
 
 _P6 = """
