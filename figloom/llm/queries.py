@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figloom.llm import components, cutoff, mixture, mojibake, pairs, tokenise
+from figloom.llm import components, cutoff, mixture, mojibake, overlap, pairs, tokenise
 from figloom.session import durable, table
 
 
@@ -44,6 +44,14 @@ def p1_incremental(spark: SparkSession, d: str) -> DataFrame:
     return components.split_report(splits, table(spark, d, "split_targets"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.pair_ids(table(spark, d, "candidates"))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.report(table(spark, d, "candidates"))
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     sft = table(spark, d, "scientific_cot_sft_stream")
     capt = table(spark, d, "captions")
@@ -101,7 +109,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p1_report, p1_incremental, p5_found, p5_report, p6_found, p6_cutoffs, p7_ids, p8_mix, p8_report, p9_found, p9_restored)
+    f.__name__: f for f in (p1_found, p1_splits, p1_report, p1_incremental, p3_found, p3_report, p5_found, p5_report, p6_found, p6_cutoffs, p7_ids, p8_mix, p8_report, p9_found, p9_restored)
 }
 
 _P6 = """
