@@ -5,8 +5,9 @@ classes, windows of five words yield fingerprints by winnowing: of the rolling h
 least is selected, least by a global order that puts rare hashes first. At most one word in ten may differ, and one
 edit spoils at most five windows; so of two texts in reach of each other, the 5k + 1 rarest windows of either hold a
 common fingerprint, k being the edits allowed. Only those are joined across splits: nothing is lost, and hashes of
-stock phrases come last in the order and are hardly ever joined. Seeds that lie within k of the diagonal are chained,
-and the pair is settled by aligning the whole texts.
+stock phrases come last in the order and are hardly ever joined. Seeds
+within k of the diagonal, in texts of lengths within k, form the chain of a pair; k edits leave a certain number of
+windows in place, so a shorter chain is dropped before any text is fetched. Whole texts are then aligned.
 
 Frequencies come from all texts: each task adds its hashes into 2 ** SKETCH_BITS counters; the summed counters are of
 fixed size. They only order hashes, so their collisions cost time, never results.
@@ -18,6 +19,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +33,7 @@ WINDOW = 5  # words; WINDOW - GRAM + 1 hashes
 ONE_IN = 10
 SKETCH_BITS = 18
 BLOCK_BITS = 12
-CACHE_ENTRIES = 1_000_000
+SHARED = 6  # windows that two texts in reach must share among their rarest, if they have so many
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,30 +53,19 @@ def reach(n: int) -> int:
 class Grams:
     """Rolling hashes of a list of texts, flat, with the text and the place of each."""
 
-    known: dict[str, int] = {}
-
     def __init__(self, texts: Sequence[str]) -> None:
-        known = Grams.known
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        split = [t.split(" ") for t in texts]
-        flat = []
-        for ws in split:
-            for w in ws:
-                h = known.get(w)
-                if h is None:
-                    h = known[w] = xxhash.xxh64_intdigest(w)
-                flat.append(h)
-        self.sizes = np.fromiter(map(len, split), np.int64, len(split))
-        h = np.array(flat, np.uint64)
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        each = coded.dictionary.to_pylist()
+        h = np.fromiter(map(xxhash.xxh64_intdigest, each), np.uint64, len(each))[coded.indices.to_numpy()]
+        self.sizes = np.diff(split.offsets.to_numpy())
         n = max(0, len(h) - GRAM + 1)
         g = np.zeros(n, np.uint64)
         for i in range(GRAM):
             g = (g ^ h[i : i + n]) * _MIX
             g ^= g >> np.uint64(29)
-        ends = np.cumsum(self.sizes)
-        starts = ends - self.sizes
-        text = np.repeat(np.arange(len(split)), self.sizes)[:n]
+        starts = np.cumsum(self.sizes) - self.sizes
+        text = np.repeat(np.arange(len(self.sizes)), self.sizes)[:n]
         place = np.arange(n) - starts[text]
         keep = place <= self.sizes[text] - GRAM
         self.hash, self.text, self.place = g[keep], text[keep], place[keep]
@@ -82,30 +74,23 @@ class Grams:
         return (self.hash >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def select(grams: Grams, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, place) of the fingerprints of the rarest windows; place is -1 where a hash recurs in its text."""
+def select(grams: Grams, counts: np.ndarray) -> np.ndarray:
+    """Which hashes are the fingerprints of the rarest windows of their texts, each place once."""
     if len(grams.hash) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rare = np.minimum(counts[grams.buckets()], (1 << 20) - 1).astype(np.uint64)
-    order = rare << np.uint64(44) | grams.hash >> np.uint64(20)
+        return np.zeros(0, np.int64)
+    rare = np.minimum(counts[grams.buckets()], 0xFFFF).astype(np.uint64)
+    order = rare << np.uint64(24) | grams.hash >> np.uint64(40)
     inside = np.flatnonzero(grams.text[1:] == grams.text[:-1])
     at = np.where(order[inside] <= order[inside + 1], inside, inside + 1)
-    text = grams.text[at]
-    by = np.lexsort((order[at], text))
-    at, text = at[by], text[by]
-    first = np.concatenate([[True], text[1:] != text[:-1]])
-    rank = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-    most = WINDOW * (grams.sizes // (ONE_IN - 1)) + 1
-    at = at[rank < most[text]]
-    text, h = grams.text[at], grams.hash[at]
-    by = np.lexsort((h, text))
-    text, h, at = text[by], h[by], at[by]
-    new = np.concatenate([[True], (text[1:] != text[:-1]) | (h[1:] != h[:-1])]) if len(at) else np.zeros(0, bool)
-    lo = np.flatnonzero(new)
-    if not len(lo):
-        return text, h, at
-    place = grams.place[at]
-    return text[lo], h[lo], np.where(np.minimum.reduceat(place, lo) == np.maximum.reduceat(place, lo), place[lo], -1)
+    key = grams.text[at].astype(np.uint64) << np.uint64(40) | order[at]
+    at = at[np.argsort(key, kind="stable")]
+    text, order = grams.text[at], order[at]
+    n = np.bincount(text, minlength=len(grams.sizes))
+    ends = np.cumsum(n)
+    most = WINDOW * (grams.sizes // (ONE_IN - 1)) + SHARED
+    last = np.clip(np.minimum(ends - n + most, ends) - 1, 0, max(0, len(at) - 1))
+    at = at[order <= order[last][text]]  # ties with the last one stay
+    return np.unique(at)
 
 
 def distance(a: Sequence, b: Sequence, most: int) -> int:
@@ -163,19 +148,27 @@ def sketch(texts: DataFrame) -> np.ndarray:
 
 
 def fingerprints(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(field, key, train, eval, n_words, hash, place) of each selected fingerprint of each class."""
-    shared = texts.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 20) - 1).astype(np.int32))
+    """(cls, n_words, train, eval, hash, place) of each selected fingerprint of each class."""
+    shared = texts.sparkSession.sparkContext.broadcast(np.minimum(counts, 0xFFFF).astype(np.int32))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = shared.value
         for b in batches:
             g = Grams(b["words"])
-            text, h, place = select(g, c)
-            own = b.drop(columns="words").iloc[text]
+            at = select(g, c)
+            text, place = g.text[at], g.place[at]
+            h = g.hash[at] ^ xxh_field(b["field"])[text]
+            own = b[["cls", "train", "eval"]].iloc[text]
             yield own.assign(n_words=g.sizes[text].astype(np.int32), hash=h.view(np.int64), place=place.astype(np.int32))
 
-    kind = "field string, key binary, train boolean, eval boolean, n_words int, hash long, place int"
-    return texts.select("field", "key", "train", "eval", "words").mapInPandas(run, kind)
+    kind = "cls long, train boolean, eval boolean, n_words int, hash long, place int"
+    return texts.select("field", "cls", "train", "eval", "words").mapInPandas(run, kind)
+
+
+def xxh_field(fields: pd.Series) -> np.ndarray:
+    """A number per field, so that hashes of different fields do not meet."""
+    codes, names = pd.factorize(fields)
+    return np.array([xxhash.xxh64_intdigest(x) for x in names], np.uint64)[codes]
 
 
 def _align(rows: pd.DataFrame) -> pd.Series:
@@ -201,7 +194,7 @@ def classes(records: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, DataF
     keyed = durable(texts.withColumn("key", F.unhex(F.md5(F.regexp_replace("words", " ", "")))), "texts")
     one = keyed.groupBy("field", "key").agg(
         F.max("train").alias("train"), F.max(~F.col("train")).alias("eval"), F.min("words").alias("words")
-    )
+    ).withColumn("cls", F.xxhash64("field", "key"))
     return keyed.select("field", "key", "id", "train"), durable(one, "classes")
 
 
@@ -209,18 +202,21 @@ def near_classes(texts: DataFrame) -> DataFrame:
     """(field, key_a, key_b, edits, words): pairs of different classes in reach, ``a`` with evaluation records and
     ``b`` with training records; ``words`` counts those of a."""
     prints = durable(fingerprints(texts, sketch(texts)), "prints")
-    a = prints.where("eval").select("field", "hash", F.col("key").alias("key_a"), F.col("n_words").alias("n_a"), F.col("place").alias("at_a"))
-    b = prints.where("train").select("field", "hash", F.col("key").alias("key_b"), F.col("n_words").alias("n_b"), F.col("place").alias("at_b"))
-    k = F.floor(F.greatest("n_a", "n_b") / ONE_IN)
-    seeds = a.join(b, ["field", "hash"]).where(
-        (F.col("key_a") != F.col("key_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= k)
-        & ((F.col("at_a") < 0) | (F.col("at_b") < 0) | (F.abs(F.col("at_a") - F.col("at_b")) <= k))
+    a = prints.where("eval").select("hash", F.col("cls").alias("cls_a"), F.col("n_words").alias("n_a"), F.col("place").alias("at_a"))
+    b = prints.where("train").select("hash", F.col("cls").alias("cls_b"), F.col("n_words").alias("n_b"), F.col("place").alias("at_b"))
+    longer = F.greatest("n_a", "n_b")
+    k = F.floor(longer / ONE_IN)
+    shared = F.least(F.lit(SHARED), longer - (WINDOW - 1) - WINDOW * k)
+    near = (F.abs(F.col("n_a") - F.col("n_b")) <= k) & (F.abs(F.col("at_a") - F.col("at_b")) <= k)
+    pairs = (
+        a.join(b, "hash").where((F.col("cls_a") != F.col("cls_b")) & near)
+        .groupBy("cls_a", "cls_b").agg(F.count("*").alias("n"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+        .where(F.col("n") * 2 >= shared).select("cls_a", "cls_b")
     )
-    pairs = seeds.select("field", "key_a", "key_b").distinct()
-    text = texts.select("field", "key", "words")
+    text = texts.select("field", "key", "words", "cls")
     both = (
-        pairs.join(text.select("field", F.col("key").alias("key_a"), F.col("words").alias("words_a")), ["field", "key_a"])
-        .join(text.select("field", F.col("key").alias("key_b"), F.col("words").alias("words_b")), ["field", "key_b"])
+        pairs.join(text.select("field", F.col("key").alias("key_a"), F.col("words").alias("words_a"), F.col("cls").alias("cls_a")), "cls_a")
+        .join(text.select("field", F.col("key").alias("key_b"), F.col("words").alias("words_b"), F.col("cls").alias("cls_b")), ["cls_b", "field"])
     )
     align = F.pandas_udf(_align, "int")
     return both.select(
