@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figloom.llm import components, cutoff, mixture, mojibake, overlap, pairs, tokenise
+from figloom.llm import components, cutoff, markup, mixture, mojibake, overlap, pairs, tokenise
 from figloom.session import durable, table
 
 
@@ -44,6 +44,19 @@ def p1_incremental(spark: SparkSession, d: str) -> DataFrame:
     return components.split_report(splits, table(spark, d, "split_targets"))
 
 
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    texts = markup.values(table(spark, d, "metadata"))
+    return markup.labelled(texts, markup.fit(texts))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _labelled(spark, d).where("found").select("row_id", "field")
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    return _labelled(spark, d)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.pair_ids(table(spark, d, "candidates"))
 
@@ -109,7 +122,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p1_report, p1_incremental, p3_found, p3_report, p5_found, p5_report, p6_found, p6_cutoffs, p7_ids, p8_mix, p8_report, p9_found, p9_restored)
+    f.__name__: f for f in (p1_found, p1_splits, p1_report, p1_incremental, p2_found, p2_clean, p3_found, p3_report, p5_found, p5_report, p6_found, p6_cutoffs, p7_ids, p8_mix, p8_report, p9_found, p9_restored)
 }
 
 _P6 = """
