@@ -47,15 +47,35 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: the lineage ends here.
 
-    A later loss of an executor re-reads the files instead of recomputing the plan (or calling a model again).
+    A later loss of an executor re-reads the files instead of recomputing the plan (or calling a model again). The
+    shuffle files behind the table are given up as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/figloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._figloom_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a ``durable`` table that nothing needs any more."""
+    path = getattr(df, "_figloom_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        there = sc._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(sc._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
