@@ -131,7 +131,7 @@ def node_paths(arr: pa.Array, name: str) -> Iterator[tuple[str, np.ndarray, pa.A
             at = ""
             for a in leaf.above[: i + 1]:
                 step = a.path[len(at):].strip(SEP)
-                parts += [pa.scalar((SEP if parts else "") + step + SEP), _place(leaf, a, keys, sel)]
+                parts += [pa.scalar((SEP if parts else "") + (step + SEP if step else "")), _place(leaf, a, keys, sel)]
                 at = a.path + SEP + ("value" if a.keyed else "element")
             if len(sel):
                 yield anc.path, rows_of(leaf)[sel], pc.binary_join_element_wise(*parts, "")
