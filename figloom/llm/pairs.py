@@ -169,7 +169,7 @@ class Languages:
 def language_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """Texts and languages of at most ``per_language`` labelled documents each, chosen by a hash of the id."""
     lang = F.regexp_extract(F.lower(F.trim("lang")), r"^([a-z]{2})(?:$|[-_])", 1)
-    rows = documents.select("doc_id", lang.alias("lang"), "text").where("lang <> '' and length(trim(text)) > 40")
+    rows = documents.select("doc_id", lang.alias("lang"), "text").where("lang <> '' and length(trim(text)) > 15")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(64).collect()}
     texts, labels = [], []
     whole = 1 << 20
