@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from figloom.functions import jsonclean
 from figloom.functions.text import mime_type, stem
-from figloom.operators import geometry, relevance, segments
+from figloom.operators import filters, geometry, relevance, segments
 from figloom.schemas import LEGACY_DIMENSIONS
 from figloom.session import table
 
@@ -153,12 +153,25 @@ def path_functions(spark: SparkSession, d: str) -> DataFrame:
     return c.select("row_id", stem(F.col("image_path")).alias("stem"), mime_type(F.col("image_path")).alias("mime"))
 
 
+def licence_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Batches stand for licences, late figures for closed ones."""
+    rows = table(spark, d, "metadata").select("row_id", "batch", "image_id", "figure_caption")
+    kept = filters.open_licence(rows, F.col("image_id").isNotNull(), F.col("batch").cast("string"), ("2", "6"), F.col("figure_caption"))
+    return kept.select("row_id")
+
+
+def keep_routing(spark: SparkSession, d: str) -> DataFrame:
+    word = F.when(F.col("answer") == "Yes", "KEEP").when(F.col("answer") == "No", '{"decision": "reject"}')
+    rows = table(spark, d, "evaluation_results").select("row_id", F.posexplode("evaluation.evaluation_results").alias("place", "v")).select("row_id", "place", "v.answer")
+    return filters.route(rows, word, F.pmod(F.col("row_id"), F.lit(10)) / 10.0).select("row_id", "place", "route")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         segments_attach, segments_explode_fallback, segments_for_matching, replace_segment_labels, set_nested_constant, geometry_filter, crop_ordinal_naming,
         rebuild_segments, relevance_labels, relevance_labels_legacy, label_counts, label_combo_top10, no_label_share, drop_low_reasoning,
-        cache_union_fresh_wins, json_clean_a, json_clean_b, json_clean_c, json_clean_d, path_functions,
+        cache_union_fresh_wins, json_clean_a, json_clean_b, json_clean_c, json_clean_d, path_functions, licence_filter, keep_routing,
     )
 }
 
@@ -222,6 +235,13 @@ select event_id, case when json_valid(j) and j <> '' then json_extract_string(j,
 with {_REPLIES}, x as (select event_id, {_FENCED} as j from r)
 select event_id, case when not json_valid(j) then 'Invalid JSON returned' end as error, case when json_valid(j) then json_extract_string(j, '$.relevance.k') end as k from x""",
     "json_clean_d": f"with {_REPLIES}, x as (select event_id, {_FENCED} as j from r) select event_id, not json_valid(j) as again from x",
+    "licence_filter": r"""
+select row_id from metadata where image_id is not null and batch in (2, 6) and not coalesce(regexp_matches(figure_caption,
+  '(?i)\b(reproduced|reprinted|adapted|modified) (with permission )?from\b|\bcourtesy of\b|\bcopyright\b|©'), false)""",
+    "keep_routing": """
+with s as (select row_id, evaluation.evaluation_results as a, unnest(range(1, len(evaluation.evaluation_results) + 1)) as i from evaluation_results)
+select row_id, cast(i - 1 as integer) as place, case when row_id % 10 / 10.0::double < 0.7::double or a[i].answer is null or a[i].answer not in ('Yes', 'No') then 'review'
+  when a[i].answer = 'Yes' then 'keep' else 'reject' end as route from s""",
     "path_functions": r"""
 select row_id, regexp_replace(string_split(image_path, '/')[-1], '(.)\.[^.]*$', '\1') as stem,
   case when lower(regexp_extract(image_path, '\.([^.]+)$', 1)) in ('jpg', 'jpeg', 'jpe') then 'image/jpeg' else 'image/png' end as mime from captions where image_path is not null""",

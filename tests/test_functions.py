@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from figloom.functions import jsonclean, text
-from figloom.operators import geometry, images, models, relevance, resume, segments, stats, training
+from figloom.operators import filters, geometry, images, models, relevance, resume, segments, stats, training
 from figloom.schemas import DETECTION, LEGACY_DIMENSIONS
 from figloom.sources import files
 
@@ -189,3 +189,12 @@ def test_image_folder(spark, tmp_path):
     assert [r["name"] for r in files.list_images(spark, str(tmp_path / "i")).collect()] == ["a.png", "b.PNG"]
     assert [r["name"] for r in files.list_images(spark, str(tmp_path / "i"), "png").collect()] == ["a.png"]
     assert files.read_images(spark, str(tmp_path / "i")).count() == 2
+
+
+def test_refusals_are_the_default(spark):
+    rows = spark.createDataFrame([(1, True, "CC BY 4.0", "A figure."), (2, None, "CC BY 4.0", "A figure."), (3, True, "CC BY", "x"), (4, True, None, "x"), (5, True, "CC BY 4.0", "Reproduced with permission from X."), (6, True, "CC BY 4.0", None)], "id int, o boolean, l string, c string")
+    kept = filters.open_licence(rows, F.col("o"), F.col("l"), ("CC BY 4.0",), F.col("c"))
+    assert sorted(r["id"] for r in kept.collect()) == [1, 6]
+    assert sorted(r["id"] for r in filters.private_by_default(rows, F.col("o")).collect()) == [1, 3, 4, 5, 6]
+    votes = spark.createDataFrame([(1, "KEEP", 0.9), (2, "REJECT", 0.9), (3, "KEEP", 0.2), (4, "hm", 0.9), (5, None, None)], "id int, r string, c double")
+    assert [r["route"] for r in filters.route(votes, F.col("r"), F.col("c")).orderBy("id").collect()] == ["keep", "reject", "review", "review", "review"]
