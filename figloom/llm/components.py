@@ -294,12 +294,9 @@ def split_records(candidates: DataFrame, targets: Sequence[tuple[str, float]]) -
 def split_report(splits: DataFrame, targets: DataFrame) -> DataFrame:
     """(split, n_components, n_records, target_pct, actual_pct) for every split wanted or given."""
     got = splits.groupBy("split").agg(F.count("*").alias("n_components"), F.sum("n_records").alias("n_records"))
-    total = got.agg(F.sum("n_records").alias("total"))
-    return (
-        got.join(targets, "split", "full").crossJoin(total)  # one row
-        .select(
-            "split", F.coalesce("n_components", F.lit(0)).alias("n_components"),
-            F.coalesce("n_records", F.lit(0)).alias("n_records"), F.col("target_pct").cast("int").alias("target_pct"),
-            F.round(100.0 * F.coalesce("n_records", F.lit(0)) / F.greatest("total", F.lit(1)), 4).alias("actual_pct"),
-        )
+    total = got.agg(F.sum("n_records")).scalar()
+    n = F.coalesce("n_records", F.lit(0))
+    return got.join(targets, "split", "full").select(
+        "split", F.coalesce("n_components", F.lit(0)).alias("n_components"), n.alias("n_records"), F.col("target_pct").cast("int").alias("target_pct"),
+        F.round(100.0 * n / F.greatest(F.coalesce(total, F.lit(0)), F.lit(1)), 4).alias("actual_pct"),
     )

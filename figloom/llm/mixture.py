@@ -41,13 +41,12 @@ def rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     have = sizes.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens"))
     plan = wanted.join(have, "source", "left").withColumns({"n_docs": F.coalesce("n_docs", F.lit(0)), "tokens": F.coalesce("tokens", F.lit(0))})
     usable = F.coalesce((F.col("tokens") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0), F.lit(False))
-    total = plan.where(usable).agg(
-        F.sum("target_share").alias("_shares"), F.min(F.col("max_repeats") * F.col("tokens") / F.col("target_share")).alias("_size")
-    )
-    rate = F.least(F.round(F.col("target_share") * F.col("_size") / F.col("tokens"), 9), F.col("max_repeats").cast("double"))
-    return plan.crossJoin(total).select(  # one row
+    shares = plan.where(usable).agg(F.sum("target_share")).scalar()
+    size = plan.where(usable).agg(F.min(F.col("max_repeats") * F.col("tokens") / F.col("target_share"))).scalar()
+    rate = F.least(F.round(F.col("target_share") * size / F.col("tokens"), 9), F.col("max_repeats").cast("double"))
+    return plan.select(
         "source", "target_share", "max_repeats", "n_docs", "tokens",
-        F.when(usable, F.col("target_share") / F.col("_shares")).otherwise(0.0).alias("share"),
+        F.when(usable, F.col("target_share") / shares).otherwise(0.0).alias("share"),
         F.when(usable, rate).otherwise(0.0).alias("rate"),
     )
 
@@ -67,8 +66,8 @@ def mix(sizes: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
 def report(mixed: DataFrame, plan: DataFrame) -> DataFrame:
     """The plan with n_rows, mixed_tokens and actual_share of each target in the mix."""
     got = mixed.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("n_tokens").alias("mixed_tokens"))
-    whole = got.agg(F.sum("mixed_tokens").alias("_all"))
-    return plan.join(got, "source", "left").crossJoin(whole).select(  # one row
+    whole = got.agg(F.sum("mixed_tokens")).scalar()
+    return plan.join(got, "source", "left").select(
         *plan.columns, F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"),
-        F.coalesce(F.col("mixed_tokens") / F.col("_all"), F.lit(0.0)).alias("actual_share"),
+        F.coalesce(F.col("mixed_tokens") / whole, F.lit(0.0)).alias("actual_share"),
     )
