@@ -19,25 +19,25 @@ def score_labels(relevance: Column, threshold: float = 7, dims: Sequence[str] =
 
 def label_counts(results: DataFrame) -> DataFrame:
     """(label, n, share): per cent of all results, those without labels included."""
-    total = results.agg(F.count("*").alias("total"))
+    total = results.agg(F.count("*")).scalar()
     n = results.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
-    return n.crossJoin(total).select("label", "n", _share().alias("share"))  # one row
+    return n.select("label", "n", _share(total).alias("share"))
 
 
 def combination_counts(results: DataFrame, top: int | None = 10) -> DataFrame:
     """(combination, n, share) of the label sets that are not empty, most frequent first, names breaking ties."""
-    total = results.agg(F.count("*").alias("total"))
+    total = results.agg(F.count("*")).scalar()
     named = results.where(F.size("labels") > 0).select(F.array_join(F.array_sort("labels"), " + ").alias("combination"))
-    n = named.groupBy("combination").agg(F.count("*").alias("n")).crossJoin(total).select("combination", "n", _share().alias("share"))
+    n = named.groupBy("combination").agg(F.count("*").alias("n")).select("combination", "n", _share(total).alias("share"))
     return n if top is None else n.orderBy(F.desc("n"), "combination").limit(top)
 
 
 def without_labels(results: DataFrame) -> DataFrame:
-    return results.agg(F.count_if(F.size("labels") == 0).alias("n"), F.count("*").alias("total")).select("n", "total", _share().alias("share"))
+    return results.agg(F.count_if(F.size("labels") == 0).alias("n"), F.count("*").alias("total")).select("n", "total", _share(F.col("total")).alias("share"))
 
 
-def _share() -> Column:
-    return F.round(100.0 * F.col("n") / F.greatest(F.lit(1), F.col("total")), 6)
+def _share(total: Column) -> Column:
+    return F.round(100.0 * F.col("n") / F.greatest(F.lit(1), total), 6)
 
 
 def union_fresh(fresh: DataFrame, cache: DataFrame, key: str) -> DataFrame:

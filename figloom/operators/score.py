@@ -38,7 +38,8 @@ def accuracy(scored: DataFrame, by: Sequence[str], threshold: float = 0.8, sampl
     without questions in a category passes it vacuously: the literal formula.
     """
     if samples is not None:
-        pairs = scored.select("category").distinct().join(samples)  # a handful of categories
+        every = scored.agg(F.collect_set("category")).scalar()  # a handful of categories
+        pairs = samples.select("*", F.explode(every).alias("category"))
         keys = [c for c in scored.columns if c not in ("strict", "rate")]
         scored = pairs.join(scored, keys, "left").withColumns({"strict": F.coalesce("strict", F.lit(True)), "rate": F.coalesce("rate", F.lit(1.0))})
     return scored.groupBy(*by).agg(

@@ -138,8 +138,8 @@ def length_stats(rows: DataFrame, group: str, long: str, short: str, population:
 
 def shares(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, n, share) in per cent of all rows."""
-    total = rows.agg(F.count("*").alias("_all"))
-    return rows.groupBy(*by).agg(F.count("*").alias("n")).crossJoin(total).select(*by, "n", F.round(100.0 * F.col("n") / F.col("_all"), 6).alias("share"))  # one row
+    total = rows.agg(F.count("*")).scalar()
+    return rows.groupBy(*by).agg(F.count("*").alias("n")).select(*by, "n", F.round(100.0 * F.col("n") / total, 6).alias("share"))
 
 
 def false_positive_gate(reviews: DataFrame, batch: str, flag: str, gate: float = 0.05) -> DataFrame:
