@@ -3,11 +3,11 @@
 Texts are compared as word sequences; equal ones form one class, so copies meet once, however many there are. Between
 classes, windows of five words yield fingerprints by winnowing: of the rolling hashes of four words in a window the
 least is selected, least by a global order that puts rare hashes first. At most one word in ten may differ, and one
-edit spoils at most five windows; so of two texts in reach of each other, the 5k + 1 rarest windows of either hold a
-common fingerprint, k being the edits allowed. Only those are joined across splits: nothing is lost, and hashes of
-stock phrases come last in the order and are hardly ever joined. Seeds
-within k of the diagonal, in texts of lengths within k, form the chain of a pair; k edits leave a certain number of
-windows in place, so a shorter chain is dropped before any text is fetched. Whole texts are then aligned.
+edit spoils at most five windows; so of two texts in reach of each other, the 5k + 8 rarest windows of either hold the
+eight rarest common ones (or all, if fewer are common), k being the edits allowed. Only those are joined across
+splits: nothing is lost, and hashes of stock phrases come last in the order and are hardly ever joined. Seeds within
+k of the diagonal, in texts of lengths within k, form the chain of a pair; a chain shorter than the k edits leave is
+dropped before any text is fetched. Whole texts are then aligned.
 
 Frequencies come from all texts: each task adds its hashes into 2 ** SKETCH_BITS counters; the summed counters are of
 fixed size. They only order hashes, so their collisions cost time, never results.
@@ -15,6 +15,7 @@ fixed size. They only order hashes, so their collisions cost time, never results
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,27 +23,31 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from figloom.llm.components import file_key
-from figloom.session import durable
+from figloom.session import durable, release
 
 GRAM = 4
 WINDOW = 5  # words; WINDOW - GRAM + 1 hashes
 ONE_IN = 10
 SKETCH_BITS = 18
 BLOCK_BITS = 12
-SHARED = 6  # windows that two texts in reach must share among their rarest, if they have so many
+SHARED = 8  # windows that two texts in reach must share among their rarest, if they have so many
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words(text: Column) -> Column:
+_IDEOGRAPH = r"([\x{3040}-\x{30ff}\x{3400}-\x{9fff}])"
+
+
+def normalise(texts: pa.Array) -> pa.Array:
     """Words in lower case with one blank between them; an ideograph is a word; null where there is none."""
-    s = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\p{M}]+", " ")
-    s = F.trim(F.regexp_replace(s, r"([\u3040-\u30ff\u3400-\u9fff])", " $1 "))
-    s = F.regexp_replace(s, " +", " ")
-    return F.when(s != "", s)
+    t = pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}\p{N}\p{M}]+", " ")
+    if pc.any(pc.match_substring_regex(t, _IDEOGRAPH)).as_py():
+        t = pc.replace_substring_regex(pc.replace_substring_regex(t, _IDEOGRAPH, r" \1 "), " +", " ")
+    t = pc.utf8_trim(t, " ")
+    return pc.if_else(pc.equal(t, ""), pa.scalar(None, t.type), t)
 
 
 def reach(n: int) -> int:
@@ -74,6 +79,15 @@ class Grams:
         return (self.hash >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def spoilt(n: np.ndarray) -> np.ndarray:
+    """Windows of a text of ``n`` words that the edits to any text in reach spoil, at most.
+
+    An edit allowed by the text's own length spoils WINDOW of them. A longer partner allows more edits, but takes
+    insertions to be longer, each of which spoils one window less.
+    """
+    return WINDOW * (n // ONE_IN) + np.maximum(0, n % ONE_IN - (ONE_IN - WINDOW))
+
+
 def select(grams: Grams, counts: np.ndarray) -> np.ndarray:
     """Which hashes are the fingerprints of the rarest windows of their texts, each place once."""
     if len(grams.hash) < 2:
@@ -87,7 +101,7 @@ def select(grams: Grams, counts: np.ndarray) -> np.ndarray:
     text, order = grams.text[at], order[at]
     n = np.bincount(text, minlength=len(grams.sizes))
     ends = np.cumsum(n)
-    most = WINDOW * (grams.sizes // (ONE_IN - 1)) + SHARED
+    most = spoilt(grams.sizes) + SHARED
     last = np.clip(np.minimum(ends - n + most, ends) - 1, 0, max(0, len(at) - 1))
     at = at[order <= order[last][text]]  # ties with the last one stay
     return np.unique(at)
@@ -148,7 +162,7 @@ def sketch(texts: DataFrame) -> np.ndarray:
 
 
 def fingerprints(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(cls, n_words, train, eval, hash, place) of each selected fingerprint of each class."""
+    """(cls, n_words, hash, place) of each selected fingerprint of each class."""
     shared = texts.sparkSession.sparkContext.broadcast(np.minimum(counts, 0xFFFF).astype(np.int32))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,11 +172,9 @@ def fingerprints(texts: DataFrame, counts: np.ndarray) -> DataFrame:
             at = select(g, c)
             text, place = g.text[at], g.place[at]
             h = g.hash[at] ^ xxh_field(b["field"])[text]
-            own = b[["cls", "train", "eval"]].iloc[text]
-            yield own.assign(n_words=g.sizes[text].astype(np.int32), hash=h.view(np.int64), place=place.astype(np.int32))
+            yield pd.DataFrame({"cls": b["cls"].to_numpy()[text], "n_words": g.sizes[text].astype(np.int32), "hash": h.view(np.int64), "place": place.astype(np.int32)})
 
-    kind = "cls long, train boolean, eval boolean, n_words int, hash long, place int"
-    return texts.select("field", "cls", "train", "eval", "words").mapInPandas(run, kind)
+    return texts.select("field", "cls", "words").mapInPandas(run, "cls long, n_words int, hash long, place int")
 
 
 def xxh_field(fields: pd.Series) -> np.ndarray:
@@ -186,33 +198,43 @@ def classes(records: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, DataF
 
     The key is a digest of 128 bits of the letters and digits of a text, so spacing inside words is ignored, too.
     """
-    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("text")) for f in fields])
-    texts = (
-        records.select("id", "train", F.explode(each).alias("x"))
-        .select("id", "train", "x.field", words(F.col("x.text")).alias("words")).where("words is not null")
-    )
-    keyed = durable(texts.withColumn("key", F.unhex(F.md5(F.regexp_replace("words", " ", "")))), "texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, name in enumerate(fields):
+                t = normalise(b.column(2 + k).cast(pa.string()))
+                use = t.is_valid()
+                t = t.filter(use)
+                key = pa.array([hashlib.md5(x.replace(" ", "").encode()).digest() for x in t.to_pylist()], pa.binary())
+                names = pa.array([name] * len(t), pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(use), b.column(1).filter(use), names, t, key], names=["id", "train", "field", "words", "key"])
+
+    texts = records.select(F.col("id").cast("long"), "train", *[F.col(f"`{f}`") for f in fields]).mapInArrow(run, "id long, train boolean, field string, words string, key binary")
+    keyed = durable(texts, "texts")
     one = keyed.groupBy("field", "key").agg(
         F.max("train").alias("train"), F.max(~F.col("train")).alias("eval"), F.min("words").alias("words")
     ).withColumn("cls", F.xxhash64("field", "key"))
-    return keyed.select("field", "key", "id", "train"), durable(one, "classes")
+    members, texts = durable(keyed.select("field", "key", "id", "train"), "members"), durable(one, "classes")
+    release(keyed)
+    return members, texts
 
 
 def near_classes(texts: DataFrame) -> DataFrame:
     """(field, key_a, key_b, edits, words): pairs of different classes in reach, ``a`` with evaluation records and
     ``b`` with training records; ``words`` counts those of a."""
-    prints = durable(fingerprints(texts, sketch(texts)), "prints")
-    a = prints.where("eval").select("hash", F.col("cls").alias("cls_a"), F.col("n_words").alias("n_a"), F.col("place").alias("at_a"))
-    b = prints.where("train").select("hash", F.col("cls").alias("cls_b"), F.col("n_words").alias("n_b"), F.col("place").alias("at_b"))
+    counts = sketch(texts)  # few classes are on both sides, so each side makes its own fingerprints
+    a = fingerprints(texts.where("eval"), counts).select("hash", F.col("cls").alias("cls_a"), F.col("n_words").alias("n_a"), F.col("place").alias("at_a"))
+    b = fingerprints(texts.where("train"), counts).select("hash", F.col("cls").alias("cls_b"), F.col("n_words").alias("n_b"), F.col("place").alias("at_b"))
     longer = F.greatest("n_a", "n_b")
     k = F.floor(longer / ONE_IN)
     shared = F.least(F.lit(SHARED), longer - (WINDOW - 1) - WINDOW * k)
     near = (F.abs(F.col("n_a") - F.col("n_b")) <= k) & (F.abs(F.col("at_a") - F.col("at_b")) <= k)
     pairs = (
         a.join(b, "hash").where((F.col("cls_a") != F.col("cls_b")) & near)
-        .groupBy("cls_a", "cls_b").agg(F.count("*").alias("n"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
-        .where(F.col("n") * 2 >= shared).select("cls_a", "cls_b")
+        .groupBy("cls_a", "cls_b").agg(F.count("*").alias("n"), F.max(shared.cast("int")).alias("least"))
+        .where("n * 2 >= least").select("cls_a", "cls_b")
     )
+    pairs = durable(pairs, "pairs")  # their number is known before texts are fetched, so few are sent to the texts
     text = texts.select("field", "key", "words", "cls")
     both = (
         pairs.join(text.select("field", F.col("key").alias("key_a"), F.col("words").alias("words_a"), F.col("cls").alias("cls_a")), "cls_a")
