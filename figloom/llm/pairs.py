@@ -80,8 +80,8 @@ def is_copy(question: str, answer: str) -> bool:
     first = a.find(q)
     if first >= 0:
         last = a.rfind(q) + len(q)
-        wide = any("一" <= c <= "鿿" for c in q)
-        return len(a) - last <= max(3, len(q) // 8) and first <= (30 if wide else 110)
+        ideographs = sum("一" <= c <= "鿿" for c in a[:first])
+        return len(a) - last <= max(3, len(q) // 8) and first <= 80 and ideographs <= 12
     tq, ta = _WORD.findall(question.lower()), _WORD.findall(answer.lower())
     if any("一" <= c <= "鿿" for c in q):
         tq, ta = list(q), list(a)

@@ -30,6 +30,11 @@ def test_copy(a):
     assert P.is_copy(Q, a)
 
 
+def test_copy_after_a_foreign_lead_in():
+    assert P.is_copy(ZH[:15], "Expand the prompt into a long scene description. " + ZH[:15])
+    assert not P.is_copy(ZH[16:], ZH)
+
+
 @pytest.mark.parametrize("a", [EN, Q + " " + EN, "Flat vector drawing: woven kelp. " + EN, ""])
 def test_no_copy(a):
     assert not P.is_copy(Q, a)
