@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from figloom.functions.text import basename
 
-PREDICATES = {"png": r"\.png$", "any": r"(?i)\.(png|jpg|jpeg)$", "corpus": r"^sciir.*\.png$"}
+PREDICATES = {"png": r"\.png$", "any": r"(?i)\.(png|jpg|jpeg)$"}
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -21,10 +21,14 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def list_images(spark: SparkSession, folder: str, predicate: str = "any") -> DataFrame:
-    """(name, path, length) of the images right in a folder, without reading them; in order of name."""
+def list_images(spark: SparkSession, folder: str, predicate: str = "any", prefix: str = "") -> DataFrame:
+    """(name, path, length) of the images right in a folder, without reading them; in order of name.
+
+    ``prefix`` keeps the names of one corpus, case counting.
+    """
     files = spark.read.format("binaryFile").load(folder).select("path", "length", basename(F.col("path")).alias("name"))
-    return files.where(F.col("name").rlike(PREDICATES[predicate])).orderBy("name").select("name", "path", "length")
+    named = files.where(F.col("name").rlike(PREDICATES[predicate]) & F.col("name").startswith(prefix))
+    return named.orderBy("name").select("name", "path", "length")
 
 
 def read_images(spark: SparkSession, folder: str, predicate: str = "any") -> DataFrame:

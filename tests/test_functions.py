@@ -188,6 +188,7 @@ def test_image_folder(spark, tmp_path):
     files.write_images(rows, str(tmp_path / "i"))
     assert [r["name"] for r in files.list_images(spark, str(tmp_path / "i")).collect()] == ["a.png", "b.PNG"]
     assert [r["name"] for r in files.list_images(spark, str(tmp_path / "i"), "png").collect()] == ["a.png"]
+    assert [r["name"] for r in files.list_images(spark, str(tmp_path / "i"), prefix="b").collect()] == ["b.PNG"]
     assert files.read_images(spark, str(tmp_path / "i")).count() == 2
 
 
