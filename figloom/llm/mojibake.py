@@ -2,14 +2,15 @@
 
 Clean units of the corpus (words, runs of signs outside ASCII, single characters) are turned into every garbled form
 that a chain of encodings gives, and the corpus' own units are hash-joined against that table. A form counts where
-its original occurs in the corpus and, unless the form's shape proves it, occurs in more documents than the form.
-All counts are over all documents; distinct units are formed with map-side aggregation before anything is joined, so
-a third of the rows holding one garbled unit is one row of the join.
+its original occurs in the corpus and, unless the form's shape proves it, its letters speak for the original (``odd``);
+where they do not decide, the original must occur in more distinct texts than the form. Distinct units are formed with
+map-side aggregation before anything is joined, so a third of the rows holding one garbled unit is one row of the join.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,9 +48,23 @@ CHAINS = (
     ("gbk>cp1252", "gbk", "cp1252", 1),
     ("gbk>latin1", "gbk", "latin-1", 1),
 )
+_PAGES = tuple(dict.fromkeys(wrong for _, true, wrong, _ in CHAINS if true == "utf-8" and wrong != "gbk"))
 LONGEST_PIECE = 12
 _SHAPED = re.compile(r"[^\x00-\x7f]{2}")
 _CYRILLIC = re.compile("[Ѐ-ӿ]+")
+#: What the languages of the corpus write outside ASCII.
+_RUSSIAN = re.compile("[А-яЁё]+")
+_KNOWN = re.compile("[\x00-\x7f\xa0-ɏͰ-ϿА-яЁё‐-⋿　-〿一-鿿＀-￯]+")
+_SELDOM = frozenset("ъэфщцюшжхйё")
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_FOREIGN = re.compile("[À-ÖØ-öø-ɏ]{2,}")
+_ACCENTS = re.compile("[À-ÖØ-öø-ɏ]{3,}")
+_ACCENTED = frozenset("äöüßéèêëàâáãåæçñíìîïóòôõøœúùûÿÄÖÜÉÈÊËÀÂÁÃÅÆÇÑÍÌÎÏÓÒÔÕØŒÚÙÛẞ")
+_STRAY = frozenset("¨´¸¯¬¤¦ˆ˜¢¥\uf8ff")
+_JOINERS = frozenset("’‘‐‑–—·×−/")
+#: Oddness by which a form of four characters or more speaks for itself; units of a document that must agree otherwise.
+SPEAKS, AGREE = 2.0, 2
 
 
 def _decode(raw: bytes, wrong: str) -> str:
@@ -79,9 +94,61 @@ def garble(word: str, true: str, wrong: str, times: int = 1) -> str | None:
     return word
 
 
+def _plain_han(c: str) -> bool:
+    """Among the 3,755 common ideographs, rows 16 to 55 of GB 2312."""
+    try:
+        raw = c.encode("gb2312")
+    except UnicodeEncodeError:
+        return False
+    return 0xB0 <= raw[0] <= 0xD7
+
+
+def odd(unit: str) -> float:
+    """How much in ``unit`` its own script does not write: signs inside words, mixed scripts, capitals after small
+    letters, words of nothing but accented letters, rare letters and ideographs. 0 for ordinary writing."""
+    out, around = 0.0, f" {unit} "
+    for a, c, b in zip(around, around[1:], around[2:]):
+        if c.isascii():
+            continue
+        if "一" <= c <= "鿿":
+            out += (not _plain_han(c)) + bool(_LATIN.search(a + b))
+        elif "\x80" <= c <= "\x9f" or "─" <= c <= "▟":
+            out += 2
+        elif "Ѐ" <= c <= "ӿ":
+            out += (not _RUSSIAN.match(c)) + bool(_LATIN.search(a + b)) + (c.isupper() and a.islower())
+        elif "Ͱ" <= c <= "Ͽ":
+            out += bool(_LATIN.match(a))
+        elif not c.isalpha():
+            kind = unicodedata.category(c)[0]
+            inside, beside = a.isalpha() and b.isalpha(), any(x.isalpha() and not x.isascii() for x in (a, b))
+            out += c in _STRAY or c not in _JOINERS and (inside and kind in "SPN" or beside and kind in "SN")
+        elif c not in "µªº":
+            out += (c not in _ACCENTED) + (c.isupper() and a.islower())
+    for w in _LETTERS.findall(unit):
+        if _FOREIGN.fullmatch(w):
+            out += len(w)
+        elif len(w) > 1 and _RUSSIAN.fullmatch(w):
+            out += 3 * max(0.0, sum(c in _SELDOM for c in w.lower()) / len(w) - 0.3) + 0.5 * w.isupper()
+        else:
+            out += sum(map(len, _ACCENTS.findall(w)))
+    return out
+
+
+def _undone(unit: str) -> bool:
+    """Whether ``unit`` is UTF-8 read as a single-byte page: it is hardly an original then."""
+    for wrong in _PAGES:
+        try:
+            was = b"".join(bytes([ord(c)]) if "\x80" <= c <= "\x9f" else c.encode(wrong) for c in unit).decode("utf-8")
+        except UnicodeError:
+            continue
+        if _KNOWN.fullmatch(was):
+            return True
+    return False
+
+
 def forms(unit: str, kind: str) -> Iterator[tuple[str, str, str]]:
     """(garbled form, chain, rule) of a clean unit: a form of rule ``shape`` speaks for itself, one of rule
-    ``count`` only where the original is the commoner one."""
+    ``count`` only where letters, document or counts speak for the original."""
     if LOST in unit:
         return
     for chain, true, wrong, times in CHAINS:
@@ -114,13 +181,13 @@ def _runs(text: Column) -> Column:
 
 
 def units(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, unit, kind) of the words and runs outside ASCII of each document, each once."""
+    """(doc_id, key, unit, kind) of the words and runs outside ASCII of each document, each once; equal texts share a key."""
     base = documents.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7f]"))
     both = F.concat(
         F.transform(_words(F.col("text")), lambda w: F.struct(w.alias("unit"), F.lit("word").alias("kind"))),
         F.transform(_runs(F.col("text")), lambda w: F.struct(w.alias("unit"), F.lit("run").alias("kind"))),
     )
-    return base.select("doc_id", F.explode(both).alias("u")).select("doc_id", "u.unit", "u.kind")
+    return base.select("doc_id", F.xxhash64("text").alias("key"), F.explode(both).alias("u")).select("doc_id", "key", "u.unit", "u.kind")
 
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,24 +208,29 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(g, unit, kind, chain, rule, n) for unit, kind, n in zip(b["unit"], b["kind"], b["n"]) for g, chain, rule in forms(unit, kind)]
-        yield pd.DataFrame(rows, columns=["form", "original", "kind", "chain", "rule", "n_original"])
+        rows = []
+        for unit, kind, n in zip(b["unit"], b["kind"], b["n"]):
+            own, clean = odd(unit), not _undone(unit)
+            most = float("inf") if clean else 0.0
+            rows += [(g, unit, kind, chain, rule, n, 0.0 if rule == "shape" else min(odd(g) - own, most), clean) for g, chain, rule in forms(unit, kind)]
+        yield pd.DataFrame(rows, columns=["form", "original", "kind", "chain", "rule", "n_original", "gain", "clean"])
 
 
 def garbled_units(found: DataFrame) -> DataFrame:
-    """(unit, kind, piece, original, chain): garbled units among ``found`` (doc_id, unit, kind) with what they were.
+    """(unit, kind, piece, original, chain, sure, counted): garbled units among ``found`` (doc_id, key, unit, kind) with what
+    they were; what is not sure counts only in documents where several units agree on the chain (``_agreed``).
 
     For a word the piece is the word, for a run the part of it that is a garbled run or character; a unit that holds
     a lost character has a null original.
     """
-    counts = durable(found.groupBy("unit", "kind").agg(F.count("*").alias("n")), "units")
+    counts = durable(found.groupBy("unit", "kind").agg(F.count_distinct("key").alias("n")), "units")
     runs = counts.where("kind = 'run'")
     chars = (
         runs.select(F.explode(F.array_distinct(F.split("unit", ""))).alias("unit"), "n").where("unit <> ''")
         .groupBy("unit").agg(F.sum("n").alias("n")).withColumn("kind", F.lit("char"))
     )
     originals = counts.where(~F.col("unit").rlike(r"[0-9]") | F.col("unit").rlike(r"(?=\p{L})[^\x00-\x7f]")).where(F.length("unit") <= 200).unionByName(chars)
-    table = originals.mapInPandas(_forms, "form string, original string, kind string, chain string, rule string, n_original bigint")
+    table = originals.mapInPandas(_forms, "form string, original string, kind string, chain string, rule string, n_original bigint, gain double, clean boolean")
     pieces = runs.where(F.length("unit") <= 100_000).select("unit").mapInPandas(_pieces, "unit string, piece string")
     pieces = pieces.unionByName(runs.select("unit", F.col("unit").alias("piece"))).distinct()
     tokens = durable(
@@ -169,20 +241,29 @@ def garbled_units(found: DataFrame) -> DataFrame:
         ),
         "tokens",
     )
-    fits = (
-        (F.col("kind") == "word") & (F.col("of") == "word") | (F.col("kind") == "run") & (F.col("of") != "word")
-    ) & ((F.col("rule") == "shape") | (F.col("n_original") > F.col("n")))
-    hits = (
-        tokens.join(table.withColumnRenamed("kind", "of").withColumnRenamed("form", "piece"), "piece").where(fits)
-        .groupBy("unit", "kind", "piece").agg(F.max_by(F.struct("original", "chain"), F.struct("n_original", "original")).alias("x"))
-        .select("unit", "kind", "piece", "x.original", "x.chain")
-    )
+    fits = (F.col("kind") == "word") & (F.col("of") == "word") | (F.col("kind") == "run") & (F.col("of") != "word")
+    counted = (F.col("rule") == "shape") | (F.col("gain") >= 0) & (F.col("n_original") > F.col("n"))
+    sure = counted | (F.col("gain") >= SPEAKS) & (F.length("piece") >= 4)
+    best = F.max_by(F.struct("original", "chain", counted.alias("counted")), F.struct(counted, "clean", "n_original", "original"))
+    matched = tokens.join(table.withColumnRenamed("kind", "of").withColumnRenamed("form", "piece"), "piece").where(fits).withColumn("sure", sure)
+    by_chain = matched.where("sure or gain > 0").groupBy("unit", "kind", "piece", "sure", F.when(~F.col("sure"), F.col("chain")).alias("c"))
+    hits = by_chain.agg(best.alias("x")).select("unit", "kind", "piece", "x.original", "x.chain", "sure", "x.counted")
     lost = counts.where(F.contains("unit", F.lit(LOST))).select(
-        "unit", "kind", F.lit(LOST).alias("piece"), F.lit(None).cast("string").alias("original"), F.lit("lost").alias("chain")
+        "unit", "kind", F.lit(LOST).alias("piece"), F.lit(None).cast("string").alias("original"), F.lit("lost").alias("chain"), F.lit(True).alias("sure"), F.lit(True).alias("counted")
     )
     return hits.unionByName(lost)
 
 
+def _agreed(found: DataFrame, hits: DataFrame) -> DataFrame:
+    """(doc_id, unit, kind, piece, original, chain, counted): the hits that are sure, and those on whose chain ``AGREE`` words
+    or runs of the document agree."""
+    rows = found.drop("key").join(hits, ["unit", "kind"])
+    loose = rows.where("not sure").select("doc_id", "chain").distinct()
+    many = [F.count_distinct(F.when(F.col("kind") == k, F.col("piece"))) for k in ("word", "run")]
+    agree = rows.join(loose, ["doc_id", "chain"], "left_semi").groupBy("doc_id", "chain").agg(F.greatest(*many).alias("k")).where(F.col("k") >= AGREE)
+    return rows.where("sure").unionByName(rows.where("not sure").join(agree.select("doc_id", "chain"), ["doc_id", "chain"], "left_semi")).drop("sure")
+
+
 def affected(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, unit, kind, piece, original, chain) of every garbled unit of every document.
 
@@ -190,14 +271,14 @@ def affected(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -
     """
     found = durable(units(documents, id_col, text), "found")
     hits = durable(garbled_units(found), "hits")
-    return found.join(hits, ["unit", "kind"])
+    return _agreed(found, hits)
 
 
 def found_ids(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Ids of the documents that hold a garbled sequence, restorable or not, each once."""
     found = durable(units(documents, id_col, text), "found")
-    bad = garbled_units(found).select("unit", "kind").distinct()
-    return found.join(bad, ["unit", "kind"], "left_semi").select("doc_id").distinct()
+    hits = durable(garbled_units(found), "hits")
+    return _agreed(found, hits).select("doc_id").distinct()
 
 
 def _restore(text: pd.Series, pairs: pd.Series) -> pd.DataFrame:
@@ -218,7 +299,7 @@ def _restore(text: pd.Series, pairs: pd.Series) -> pd.DataFrame:
 def restore(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, restored, whole, chains) of the affected documents; ``whole`` is false where characters stay lost."""
     pairs = affected(documents, id_col, text).groupBy("doc_id").agg(
-        F.collect_set(F.struct("piece", "original")).alias("pairs"), F.array_sort(F.collect_set("chain")).alias("chains")
+        F.sort_array(F.collect_set(F.struct((~F.col("counted")).alias("later"), "piece", "original"))).alias("pairs"), F.array_sort(F.collect_set("chain")).alias("chains")
     )
     fix = F.pandas_udf(_restore, "restored string, whole boolean")
     joined = documents.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).join(pairs, "doc_id")

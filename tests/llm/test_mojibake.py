@@ -36,3 +36,16 @@ def test_empty_tables_repeats_and_clashing_columns(spark):
     long = "é " * 20_000 + "Ã©"
     two = spark.createDataFrame([(1, long, "u", 1), (1, long, "u", 1), (2, long, "u", 2)], df.schema)
     assert sorted(r["doc_id"] for r in M.found_ids(two).collect()) == [1, 2]
+
+
+def test_a_garbled_word_commoner_than_its_original(spark):
+    text = "На схеме видно, как растёт край ледника"
+    bad = M.garble(text, "cp1251", "cp1252")
+    swapped = M.garble(text, "koi8_r", "cp1251")
+    rows = [(0, text), (1, bad)] + [(10 + i, f"{bad} {i}") for i in range(6)] + [(20 + i, f"{swapped} {i}") for i in range(6)] + [(30 + i, bad) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in M.found_ids(df).collect()} == {i for i, _ in rows} - {0}
+    fixed = {r["doc_id"]: r["restored"] for r in M.restore(df).collect()}
+    assert fixed[1] == text and fixed[10] == text + " 0" and "схеме видно, " in fixed[20] and "край ледника" in fixed[20] and fixed[30] == text
+    one = spark.createDataFrame([(1, "Der Wärmefluss wächst"), (2, M.garble("Der Wärmefluss wächst", "cp1252", "cp437"))], "doc_id long, text string")
+    assert [r["doc_id"] for r in M.found_ids(one).collect()] == [2]
