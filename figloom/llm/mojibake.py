@@ -281,25 +281,94 @@ def found_ids(documents: DataFrame, id_col: str = "doc_id", text: str = "text")
     return _agreed(found, hits).select("doc_id").distinct()
 
 
+_BY_NAME = {name: (true, wrong) for name, true, wrong, times in CHAINS if "utf-8" not in (true, wrong)}
+_LEFT = re.compile(r"[^\W\d_]*[^\x00-\x7f](?:[^\W\d_]|[^\x00-\x7f])*")
+
+
+def _back(unit: str, chain: str) -> str | None:
+    """What ``unit`` was before ``chain``; None where the chain does not give ``unit``."""
+    true, wrong = _BY_NAME[chain]
+    try:
+        was = b"".join(bytes([ord(c)]) if "\x80" <= c <= "\x9f" else c.encode(wrong) for c in unit).decode(true)
+    except UnicodeError:
+        return None
+    return was if was != unit and _KNOWN.fullmatch(was) and garble(was, true, wrong) == unit else None
+
+
+def _remaining(unit: str, known: list[str], before: str, after: str) -> str | None:
+    """A unit that no hit names, under a chain that other units of its document verify: odd signs give way to plain
+    ones, and a short word follows the words beside it."""
+    for chain in known:
+        was = _back(unit, chain)
+        if was is None:
+            continue
+        if odd(unit) > odd(was):
+            return was
+        if len(unit) < 4 and unit.isalpha() and was.isalpha():
+            sides = (before == chain) + (after == chain)
+            if sides == 2 or sides and _RUSSIAN.fullmatch(was) and not _CYRILLIC.fullmatch(unit):
+                return was
+    return None
+
+
+def _stays(unit: str) -> bool:
+    """Whether a unit left as it was is no clean one."""
+    if _RUSSIAN.fullmatch(unit):
+        return False
+    ideographs = sum("一" <= c <= "鿿" for c in unit)
+    return odd(unit) > ideographs / 2
+
+
+def mend(text: str, pairs: list) -> tuple[str, bool]:
+    """``text`` with its pieces replaced, and whether nothing garbled is left."""
+    swap: dict[str, str] = {}
+    chain_of: dict[str, str] = {}
+    for p in pairs:
+        if p["original"] is not None and p["piece"] not in swap:
+            swap[p["piece"]], chain_of[p["piece"]] = p["original"], p["chain"]
+    if not swap:
+        return text, LOST not in text and not any(map(_stays, _LEFT.findall(text)))
+    longest = sorted(swap, key=lambda x: (-len(x), x))
+    parts, at = [], 0  # (text, chain); "" for what is no unit, "?" for a unit without a hit
+    for m in re.finditer("|".join(map(re.escape, longest)), text):
+        parts += _split(text[at : m.start()])
+        parts.append((m.group(), chain_of[m.group()]))
+        at = m.end()
+    parts += _split(text[at:])
+    known = sorted({c for _, c in parts if c in _BY_NAME})
+    beside = [c for _, c in parts]
+    out, whole, before = [], LOST not in text, ""
+    following, nxt = [""] * len(parts), ""
+    for k in range(len(parts) - 1, -1, -1):
+        following[k] = nxt
+        nxt = beside[k] if beside[k] not in ("", "?") else nxt
+    for (t, c), after in zip(parts, following):
+        if c == "?":
+            was = _remaining(t, known, before, after)
+            whole = whole and (was is not None or not _stays(t))
+            out.append(t if was is None else was)
+        else:
+            out.append(swap[t] if c else t)
+            before = c or before
+    return "".join(out), whole
+
+
+def _split(text: str) -> list[tuple[str, str]]:
+    parts, at = [], 0
+    for m in _LEFT.finditer(text):
+        parts += [(text[at : m.start()], ""), (m.group(), "?")]
+        at = m.end()
+    return [*parts, (text[at:], "")]
+
+
 def _restore(text: pd.Series, pairs: pd.Series) -> pd.DataFrame:
-    out, lost = [], []
-    for t, ps in zip(text, pairs):
-        swap: dict[str, str] = {}
-        for p in ps:
-            if p["original"] is not None:
-                swap.setdefault(p["piece"], p["original"])
-        if swap:
-            longest = sorted(swap, key=lambda x: (-len(x), x))
-            t = re.sub("|".join(map(re.escape, longest)), lambda m: swap[m.group()], t)
-        out.append(t)
-        lost.append(LOST in t)
-    return pd.DataFrame({"restored": out, "whole": [not x for x in lost]})
+    return pd.DataFrame([mend(t, ps) for t, ps in zip(text, pairs)], columns=["restored", "whole"])
 
 
 def restore(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, restored, whole, chains) of the affected documents; ``whole`` is false where characters stay lost."""
+    """(doc_id, restored, whole, chains) of the affected documents; ``whole`` is false where characters stay lost or garbled."""
     pairs = affected(documents, id_col, text).groupBy("doc_id").agg(
-        F.sort_array(F.collect_set(F.struct((~F.col("counted")).alias("later"), "piece", "original"))).alias("pairs"), F.array_sort(F.collect_set("chain")).alias("chains")
+        F.sort_array(F.collect_set(F.struct((~F.col("counted")).alias("later"), "piece", "original", "chain"))).alias("pairs"), F.array_sort(F.collect_set("chain")).alias("chains")
     )
     fix = F.pandas_udf(_restore, "restored string, whole boolean")
     joined = documents.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).join(pairs, "doc_id")

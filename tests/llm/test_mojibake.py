@@ -49,3 +49,15 @@ def test_a_garbled_word_commoner_than_its_original(spark):
     assert fixed[1] == text and fixed[10] == text + " 0" and "схеме видно, " in fixed[20] and "край ледника" in fixed[20] and fixed[30] == text
     one = spark.createDataFrame([(1, "Der Wärmefluss wächst"), (2, M.garble("Der Wärmefluss wächst", "cp1252", "cp437"))], "doc_id long, text string")
     assert [r["doc_id"] for r in M.found_ids(one).collect()] == [2]
+
+
+def test_short_units_follow_the_chain_of_their_document():
+    def pairs(text, chain, true, wrong):
+        return [{"piece": M.garble(w, true, wrong), "original": w, "chain": chain} for w in text.split() if len(w) > 3 and not w.isascii()]
+
+    ru = "Подпись относится к области, рядом с меткой"
+    assert M.mend(M.garble(ru, "cp1251", "cp1252"), pairs(ru, "cp1251>cp1252", "cp1251", "cp1252")) == (ru, True)
+    de = "Das Gefäß misst nämlich 6.28 ± 0.77 kPa"
+    assert M.mend(M.garble(de, "cp1252", "cp437"), pairs(de, "cp1252>cp437", "cp1252", "cp437")) == (de, True)
+    assert M.mend("Für ▒ Maß", [{"piece": "x", "original": "y", "chain": "utf8>mac"}]) == ("Für ▒ Maß", False)
+    assert M.mend("Für 5 ± 2 à gauche Ã©", [{"piece": "Ã©", "original": "é", "chain": "utf8>cp1252"}]) == ("Für 5 ± 2 à gauche é", True)
