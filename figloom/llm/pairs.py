@@ -42,6 +42,14 @@ _REFUSAL = re.compile(
     r"|\bне могу\b|\bизвините\b|\bк сожалению\b|对不起|抱歉|无法(?:描述|回答|提供|处理|完成|协助)|不能(?:回答|描述|提供|协助)",
     re.IGNORECASE,
 )
+#: Words of sentences that explain a refusal, introduce it or offer something else.
+_ASIDE = re.compile(
+    r"\b(?:i|we|you|me|us|my|our|your|please|sorry|apolog\w+|thanks?|request\w*|guidelines?|polic(?:y|ies)|rules?|assist\w*|unfortunately|regret\w*|instead)\b"
+    r"|\b(?:ich|wir|mir|mich|uns|sie|ihnen|ihre?r?|bitte|anfrage|leider|richtlinien?|danke)\b|\b(?:je|nous|vous|votre|merci|désolée?|demande|règles|malheureusement)\b"
+    r"|\b(?:yo|usted|gracias|solicitud|lamento|por favor|desculpe|você|obrigad[oa]|pedido)\b|\b(?:я|мы|вы|вас|вам|мне|пожалуйста|запрос\w*|извините)\b|我|您|你|请|抱歉|对不起|谢谢|请求|规定",
+    re.IGNORECASE,
+)
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？｡؟])|\n+")
 _QUOTED = re.compile(r"\"[^\"\n]{0,80}\"|“[^”\n]{0,80}”|«[^»\n]{0,80}»|„[^“”\n]{0,80}[“”]|「[^」\n]{0,80}」")
 _INVISIBLE = re.compile(r"[\s​-‏‪-‮⁠-⁤﻿­\x00-\x1f\x7f-\x9f᠎⠀ㅤ]+")
 _CLOSERS = "\"'”’»“)]}）】」』*_`"
@@ -63,10 +71,15 @@ def is_empty(answer: str | None) -> bool:
 
 
 def is_refusal(answer: str) -> bool:
-    """It declines, outside its quoted labels, in its first sentence or two."""
-    said = _QUOTED.sub(" ", answer[:2000]) if len(answer) > 2000 else _QUOTED.sub(" ", answer)
-    m = _REFUSAL.search(said.lstrip())
-    return bool(m) and m.start() < 160 and len(said) < 600
+    """It declines, outside its quoted labels, in one of its sentences, and no sentence of it describes."""
+    said = [x for x in map(str.strip, _SENTENCE.split(_QUOTED.sub(" ", answer))) if _WORD.search(x)]
+    declines = [bool(_REFUSAL.search(x)) for x in said]
+    return any(declines) and not any(not d and _describes(x) for x, d in zip(said, declines))
+
+
+def _describes(sentence: str) -> bool:
+    """It states something of the figure: it speaks neither of the one who answers, the one who asks nor the request."""
+    return not _ASIDE.search(sentence)
 
 
 def is_copy(question: str, answer: str) -> bool:

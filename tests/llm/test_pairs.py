@@ -77,3 +77,10 @@ def test_long_texts_score_like_their_parts(spark):
         assert np.allclose(lang.scores([EN * 50, DE, None, ""]), whole, rtol=1e-3, atol=1e-1)
     finally:
         P.CHUNK = old
+
+
+def test_long_and_late_refusals():
+    long = "I'm sorry, but I can't describe this figure. " + "My guidelines ask me to leave such requests alone, whatever you need them for. " * 40
+    late = "Thank you for your request and for the care you took in writing it. " * 4 + "I cannot help with that."
+    assert P.is_refusal(long) and len(long) > 2000 and P.is_refusal(late)
+    assert not P.is_refusal(EN * 3 + " I cannot describe the rest of it.")
