@@ -48,6 +48,7 @@ CHAINS = (
     ("gbk>cp1252", "gbk", "cp1252", 1),
     ("gbk>latin1", "gbk", "latin-1", 1),
 )
+_BY_NAME = {name: (true, wrong) for name, true, wrong, times in CHAINS if "utf-8" not in (true, wrong)}
 _PAGES = tuple(dict.fromkeys(wrong for _, true, wrong, _ in CHAINS if true == "utf-8" and wrong != "gbk"))
 LONGEST_PIECE = 12
 _SHAPED = re.compile(r"[^\x00-\x7f]{2}")
@@ -206,6 +207,50 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"unit": runs, "piece": out})
 
 
+def _pair(a: int, b: int) -> tuple[str, bool] | None:
+    """The GB 2312 character of two bytes, and whether it is a common one; None where they are none."""
+    try:
+        c = bytes([a, b]).decode("gb2312")
+    except UnicodeDecodeError:
+        return None
+    return c, 0xB0 <= a <= 0xD7 or a in (0xA1, 0xA3) and not c.isalnum()
+
+
+def walk(run: str) -> list[tuple[str, str, str]]:
+    """(piece, original, chain) of the stretches of ``run``, of any length, that are GBK read as a single-byte page:
+    four two-byte units or more, nearly all common, that are neither UTF-8 nor Russian of one byte a letter."""
+    out, seen = [], set()
+    for chain in ("gbk>cp1252", "gbk>latin1"):
+        raw = []
+        for c in run:
+            try:
+                raw.append(c.encode(_BY_NAME[chain][1])[0])
+            except UnicodeEncodeError:
+                raw.append(ord(c) if "\x80" <= c <= "\x9f" else 0)
+        at = 0
+        while at < len(raw) - 1:
+            end, was, common = at, [], 0
+            while end < len(raw) - 1 and (x := _pair(raw[end], raw[end + 1])):
+                was.append(x[0])
+                common += x[1]
+                end += 2
+            n = len(was)
+            if n >= 4 and common >= 0.85 * n:
+                low = sum(b < 0xC0 and b not in (0xA8, 0xB8) for b in raw[at:end])
+                utf8 = sum(0xC2 <= raw[k] <= 0xDF and raw[k + 1] < 0xC0 for k in range(at, end, 2))
+                piece = run[at:end]
+                if 8 * low >= 2 * n and utf8 <= 0.6 * n and piece not in seen:
+                    seen.add(piece)
+                    out.append((piece, "".join(was), chain))
+            at = max(end, at + 1)
+    return out
+
+
+def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame([(u, *x) for u in b["unit"] for x in walk(u)], columns=["unit", "piece", "original", "chain"])
+
+
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
@@ -251,7 +296,9 @@ def garbled_units(found: DataFrame) -> DataFrame:
     lost = counts.where(F.contains("unit", F.lit(LOST))).select(
         "unit", "kind", F.lit(LOST).alias("piece"), F.lit(None).cast("string").alias("original"), F.lit("lost").alias("chain"), F.lit(True).alias("sure"), F.lit(True).alias("counted")
     )
-    return hits.unionByName(lost)
+    walked = runs.where(F.length("unit") >= 8).select("unit").mapInPandas(_walked, "unit string, piece string, original string, chain string")
+    walked = walked.select("unit", F.lit("run").alias("kind"), "piece", "original", "chain", F.lit(True).alias("sure"), F.lit(True).alias("counted"))
+    return hits.unionByName(lost).unionByName(walked)
 
 
 def _agreed(found: DataFrame, hits: DataFrame) -> DataFrame:
@@ -281,7 +328,6 @@ def found_ids(documents: DataFrame, id_col: str = "doc_id", text: str = "text")
     return _agreed(found, hits).select("doc_id").distinct()
 
 
-_BY_NAME = {name: (true, wrong) for name, true, wrong, times in CHAINS if "utf-8" not in (true, wrong)}
 _LEFT = re.compile(r"[^\W\d_]*[^\x00-\x7f](?:[^\W\d_]|[^\x00-\x7f])*")
 
 

@@ -61,3 +61,15 @@ def test_short_units_follow_the_chain_of_their_document():
     assert M.mend(M.garble(de, "cp1252", "cp437"), pairs(de, "cp1252>cp437", "cp1252", "cp437")) == (de, True)
     assert M.mend("Für ▒ Maß", [{"piece": "x", "original": "y", "chain": "utf8>mac"}]) == ("Für ▒ Maß", False)
     assert M.mend("Für 5 ± 2 à gauche Ã©", [{"piece": "Ã©", "original": "é", "chain": "utf8>cp1252"}]) == ("Für 5 ± 2 à gauche é", True)
+
+
+def test_long_stretches_of_gbk_are_walked(spark):
+    zh = "说明文字对应薄膜较宽的位置。如果没有催化剂，则只剩下对照样品。"
+    for wrong, chain in (("cp1252", "gbk>cp1252"), ("latin-1", "gbk>latin1")):
+        bad = M.garble(zh, "gbk", wrong)
+        assert len(bad) > M.LONGEST_PIECE and (bad, zh) in [(p, o) for p, o, _ in M.walk(bad)]
+        assert (M.garble(zh * 3, "gbk", wrong), zh * 3) in [(p, o) for p, o, _ in M.walk(M.garble(zh * 3, "gbk", wrong) + "，")]
+    for text, true in (("Показанообъект", "cp1251"), ("ПОКАЗАНООБЪЕКТ", "cp1251"), ("показанообъект", "utf-8"), ("éèêëàâäöüß", "utf-8"), (zh, "utf-8")):
+        assert not M.walk(M.garble(text, true, "cp1252"))
+    df = spark.createDataFrame([(1, "A1" + M.garble(zh, "gbk", "cp1252") + "B2"), (2, "Für das Gefäß")], "doc_id long, text string")
+    assert [tuple(r)[:3] for r in M.restore(df).collect()] == [(1, f"A1{zh}B2", True)]
