@@ -5,15 +5,22 @@ that a chain of encodings gives, and the corpus' own units are hash-joined again
 its original occurs in the corpus and, unless the form's shape proves it, its letters speak for the original (``odd``);
 where they do not decide, the original must occur in more distinct texts than the form. Distinct units are formed with
 map-side aggregation before anything is joined, so a third of the rows holding one garbled unit is one row of the join.
+
+Units have no length limit. Forms travel as hashes; texts of originals are fetched for the few that meet a token, and
+each is garbled once more and compared before it counts. A run outside ASCII is cut into pieces by reading it back under
+every chain (``pieces``): at most a few per character and chain, whatever its length.
 """
 
 from __future__ import annotations
 
+import codecs
 import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,12 +57,12 @@ CHAINS = (
 )
 _BY_NAME = {name: (true, wrong) for name, true, wrong, times in CHAINS if "utf-8" not in (true, wrong)}
 _PAGES = tuple(dict.fromkeys(wrong for _, true, wrong, _ in CHAINS if true == "utf-8" and wrong != "gbk"))
-LONGEST_PIECE = 12
 _SHAPED = re.compile(r"[^\x00-\x7f]{2}")
 _CYRILLIC = re.compile("[Ѐ-ӿ]+")
 #: What the languages of the corpus write outside ASCII.
 _RUSSIAN = re.compile("[А-яЁё]+")
 _KNOWN = re.compile("[\x00-\x7f\xa0-ɏͰ-ϿА-яЁё‐-⋿　-〿一-鿿＀-￯]+")
+_MIXED = re.compile("[а-яё][А-ЯЁ]")
 _SELDOM = frozenset("ъэфщцюшжхйё")
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -70,19 +77,14 @@ SPEAKS, AGREE = 2.0, 2
 
 def _decode(raw: bytes, wrong: str) -> str:
     """Bytes without a meaning stay control characters, as browsers and editors leave them."""
-    try:
-        return raw.decode(wrong)
-    except UnicodeDecodeError:
-        if wrong == "gbk":
-            return raw.decode(wrong, "replace")
-        return "".join(_one(b, wrong) for b in raw)
+    return raw.decode(wrong, "replace" if wrong == "gbk" else "figloom-keep")
 
 
-def _one(b: int, wrong: str) -> str:
-    try:
-        return bytes([b]).decode(wrong)
-    except UnicodeDecodeError:
-        return chr(b)
+def _keep(e: UnicodeError) -> tuple[str, int]:
+    return "".join(map(chr, e.object[e.start : e.end])), e.end  # type: ignore[attr-defined]
+
+
+codecs.register_error("figloom-keep", _keep)
 
 
 def garble(word: str, true: str, wrong: str, times: int = 1) -> str | None:
@@ -129,7 +131,7 @@ def odd(unit: str) -> float:
         if _FOREIGN.fullmatch(w):
             out += len(w)
         elif len(w) > 1 and _RUSSIAN.fullmatch(w):
-            out += 3 * max(0.0, sum(c in _SELDOM for c in w.lower()) / len(w) - 0.3) + 0.5 * w.isupper()
+            out += (3 * max(0.0, sum(c in _SELDOM for c in w.lower()) / len(w) - 0.3) + 0.5 * w.isupper()) * max(1.0, len(w) / 6)
         else:
             out += sum(map(len, _ACCENTS.findall(w)))
     return out
@@ -147,34 +149,70 @@ def _undone(unit: str) -> bool:
     return False
 
 
-def forms(unit: str, kind: str) -> Iterator[tuple[str, str, str]]:
-    """(garbled form, chain, rule) of a clean unit: a form of rule ``shape`` speaks for itself, one of rule
-    ``count`` only where letters, document or counts speak for the original."""
+def forms(unit: str, kind: str) -> Iterator[tuple[str, int, str]]:
+    """(garbled form, place of the chain in CHAINS, rule) of a clean unit: a form of rule ``shape`` speaks for itself,
+    one of rule ``count`` only where letters, document or counts speak for the original."""
     if LOST in unit:
         return
-    for chain, true, wrong, times in CHAINS:
-        g = garble(unit, true, wrong, times)
-        if g is None or g == unit or g.isascii() or LOST in g:
+    raw: dict[str, bytes | None] = {}
+    once: dict[str, str] = {}
+    for k, (_, true, wrong, times) in enumerate(CHAINS):
+        if true not in raw:
+            try:
+                raw[true] = unit.encode(true)
+            except UnicodeEncodeError:
+                raw[true] = None
+        if raw[true] is None:
+            continue
+        if true == "utf-8" and wrong in once:
+            g = once[wrong]
+        else:
+            g = _decode(raw[true], wrong)  # type: ignore[arg-type]
+            if true == "utf-8":
+                once[wrong] = g
+        if times > 1:
+            g = garble(g, true, wrong, times - 1)  # type: ignore[assignment]
+        if g is None or g == unit or LOST in g or g.isascii():
             continue
         if true == "utf-8" and wrong != "gbk":
             if _SHAPED.search(g):
-                yield g, chain, "shape"
+                yield g, k, "shape"
         elif wrong == "gbk":
             if kind == "word" or len(g) > 1:
-                yield g, chain, "count"
+                yield g, k, "count"
         elif len(unit) > 1 and kind != "char":
             if len(unit) < 4 and _CYRILLIC.fullmatch(unit) and _CYRILLIC.fullmatch(g):
                 continue
-            yield g, chain, "count"
-    if kind == "char" and len(raw := unit.encode("utf-8", "replace")) == 3:
-        head = raw[:2].decode("gbk", "replace")  # the third byte goes into the next character
-        if LOST not in head and len(head) == 1:
-            yield head, "utf8>gbk", "count"
+            yield g, k, "count"
+    if kind == "char" and len(u := unit.encode("utf-8", "replace")) == 3:
+        head = _head(u)
+        if head:
+            yield head, _HEADS, "count"
+
+
+def _head(raw: bytes) -> str | None:
+    """The first two of three bytes read as GBK; the third byte goes into the next character."""
+    head = raw[:2].decode("gbk", "replace")
+    return head if LOST not in head and len(head) == 1 else None
+
+
+_HEADS = next(k for k, c in enumerate(CHAINS) if c[0] == "utf8>gbk")
+
+
+def _same(original: str, kind: str, chain: int, piece: str) -> bool:
+    """Whether ``original`` garbled by the chain is ``piece``."""
+    _, true, wrong, times = CHAINS[chain]
+    if garble(original, true, wrong, times) == piece:
+        return True
+    return chain == _HEADS and kind == "char" and len(u := original.encode("utf-8", "replace")) == 3 and _head(u) == piece
+
+
+_EDGES = r"^[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+|[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+$"
 
 
 def _words(text: Column) -> Column:
-    bare = F.transform(F.split(text, r"[ \t\n\r\f]+"), lambda w: F.regexp_replace(w, r"^[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+|[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+$", ""))
-    return F.array_distinct(F.filter(bare, lambda w: w.rlike(r"[^\x00-\x7f]")))
+    wide = F.filter(F.split(text, r"[ \t\n\r\f]+"), lambda w: F.octet_length(w) > F.length(w))
+    return F.array_distinct(F.transform(wide, lambda w: F.regexp_replace(w, _EDGES, "")))
 
 
 def _runs(text: Column) -> Column:
@@ -182,29 +220,142 @@ def _runs(text: Column) -> Column:
 
 
 def units(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, key, unit, kind) of the words and runs outside ASCII of each document, each once; equal texts share a key."""
-    base = documents.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7f]"))
+    """(doc_id, key, unit, kind, k1, k2) of the words and runs outside ASCII of each document, each once; equal texts
+    share a key, ``k1`` and ``k2`` are 96 bits that stand for unit and kind."""
+    base = documents.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).where(F.octet_length("text") > F.length("text"))
     both = F.concat(
         F.transform(_words(F.col("text")), lambda w: F.struct(w.alias("unit"), F.lit("word").alias("kind"))),
         F.transform(_runs(F.col("text")), lambda w: F.struct(w.alias("unit"), F.lit("run").alias("kind"))),
     )
-    return base.select("doc_id", F.xxhash64("text").alias("key"), F.explode(both).alias("u")).select("doc_id", "key", "u.unit", "u.kind")
+    rows = base.select("doc_id", F.xxhash64("text").alias("key"), F.explode(both).alias("u")).select("doc_id", "key", "u.unit", "u.kind")
+    return rows.withColumns({"k1": F.xxhash64("unit", "kind"), "k2": F.hash("unit", "kind")})
 
 
-def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Substrings of a run that may be a garbled character; runs of one script's plain letters have none."""
-    plain = re.compile("[一-鿿、-】＀-￯‐-›]+|[А-яЁё]+|[‐-›«»]+")
-    for b in batches:
-        runs, out = [], []
-        for r in b["unit"]:
-            if plain.fullmatch(r):
-                found = set(r) if re.search("[一-鿿]", r) else set()
+def _c1(e: UnicodeError) -> tuple[bytes, int]:
+    """Control characters stand for their byte, what the page lacks for a question mark: one byte a character."""
+    part = e.object[e.start : e.end]  # type: ignore[attr-defined]
+    return b"".join(bytes([ord(c)]) if "\x80" <= c <= "\x9f" else b"?" for c in part), e.end  # type: ignore[attr-defined]
+
+
+codecs.register_error("figloom-c1", _c1)
+_PLAIN_RUN = re.compile("[一-鿿、-】＀-￯‐-›]+|[А-яЁё]+|[‐-›«»]+")
+_UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+_HIGH = re.compile(rb"[\x80-\xfe]{2,}")
+_STRETCH = re.compile(r"[^\W\d_]{2,}")
+_SINGLE: dict[str, list[str]] = {}  # wrong page -> true pages of the chains that are not UTF-8
+for _, _true, _wrong, _ in CHAINS:
+    if _true != "utf-8":
+        _SINGLE.setdefault(_wrong, []).append(_true)
+
+
+def _utf8_spans(raw: bytes) -> list[tuple[int, int]]:
+    return [m.span() for m in _UTF8.finditer(raw)]
+
+
+def pieces(run: str) -> set[str]:
+    """Parts of a run that may be a garbled character or word: what its reading back under each chain shows to be one.
+
+    The number of parts grows in proportion to the run. A run of one script's plain letters has only its ideographs.
+    """
+    ideographs = {c for c in run if "一" <= c <= "鿿"}
+    if _PLAIN_RUN.fullmatch(run):
+        return ideographs
+    out = ideographs
+    for wrong in dict.fromkeys((*_PAGES, *_SINGLE)):
+        raw = run.encode(wrong, "figloom-c1")
+        if wrong in _PAGES:
+            once = _utf8_spans(raw)
+            out.update(run[a:b] for a, b in once)
+            if wrong in ("cp1252", "latin-1") and len(once) > 1:
+                at = 0
+                while at < len(once):  # sequences one after the other are what a second reading went over
+                    end = at
+                    while end + 1 < len(once) and once[end + 1][0] == once[end][1]:
+                        end += 1
+                    inner = raw[once[at][0] : once[end][1]].decode("utf-8", "replace")
+                    if len(inner) == end - at + 1:
+                        out.update(run[once[at + a][0] : once[at + b - 1][1]] for a, b in _utf8_spans(inner.encode(wrong, "figloom-c1")))
+                    at = end + 1
+        for true in _SINGLE.get(wrong, ()):
+            if true == "gbk":
+                for m in _HIGH.finditer(raw):
+                    for lo in (m.start(), m.start() + 1):
+                        was = raw[lo : lo + (m.end() - lo) // 2 * 2].decode("gbk", "replace")
+                        if 2 * len(was) == (m.end() - lo) // 2 * 2:  # else a byte without a meaning has shifted it
+                            out.update(run[lo + 2 * x.start() : lo + 2 * x.end()] for x in _STRETCH.finditer(was))
             else:
-                found = {r[i : i + k] for k in range(2, LONGEST_PIECE + 1) for i in range(len(r) - k + 1)}
-                found |= {c for c in r if "一" <= c <= "鿿"}
-            runs += [r] * len(found)
-            out += found
-        yield pd.DataFrame({"unit": runs, "piece": out})
+                out.update(run[x.start() : x.end()] for x in _STRETCH.finditer(raw.decode(true, "replace")))
+    if ideographs:  # UTF-8 read as GBK: two bytes a character
+        raw = run.encode("gbk", "replace")
+        if len(raw) == 2 * len(run):
+            spans, at = _utf8_spans(raw), 0
+            while at < len(spans):
+                end = at
+                while end + 1 < len(spans) and spans[end + 1][0] == spans[end][1]:
+                    end += 1
+                was = raw[spans[at][0] : spans[end][1]].decode("utf-8", "replace")
+                if len(was) == end - at + 1:
+                    for x in _STRETCH.finditer(was):
+                        lo, hi = spans[at + x.start()][0], spans[at + x.end() - 1][1]
+                        out.add(run[(lo + 1) // 2 : hi // 2])
+                at = end + 1
+    out.discard("")
+    return out
+
+
+_SEEDS = {"word": 1, "run": 2}
+
+
+def _key(x: str, cls: str) -> int:
+    """Hash by which forms and tokens meet; words meet words, and runs, their parts and characters meet each other."""
+    return xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), _SEEDS[cls])
+
+
+def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pieces by which a unit is looked up: a word as a whole, a run as a whole and in its parts."""
+    for b in batches:
+        k1, k2, n, keys, out, cls = [], [], [], [], [], []
+        for u, kind, a, c, m in zip(b["unit"], b["kind"], b["k1"], b["k2"], b["n"]):
+            found = pieces(u) | {u} if kind == "run" else (u,)
+            for x in found:
+                out.append(x)
+                keys.append(_key(x, kind))
+            k1 += [a] * len(found)
+            k2 += [c] * len(found)
+            n += [m] * len(found)
+            cls += [kind] * len(found)
+        yield pd.DataFrame({"k1": k1, "k2": np.array(k2, np.int32), "kind": cls, "piece": out, "key": np.array(keys, np.uint64).view(np.int64), "n": n})
+
+
+def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Characters, and words inside longer runs: originals, too."""
+    for b in batches:
+        out, kinds, n = [], [], []
+        for u, m in zip(b["unit"], b["n"]):
+            chars = set(u)
+            words = {x for x in _STRETCH.findall(u) if x != u and not _stays(x)}
+            out += [*chars, *words]
+            kinds += ["char"] * len(chars) + ["run"] * len(words)
+            n += [m] * (len(chars) + len(words))
+        yield pd.DataFrame({"unit": out, "kind": kinds, "n": n})
+
+
+_RULES = ("shape", "count")
+
+
+def _form_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        keys, own, chains, rules = [], [], [], []
+        for unit, kind, o in zip(b["unit"], b["kind"], b["o"]):
+            cls = "word" if kind == "word" else "run"
+            if kind != "char" and (_stays(unit) or _MIXED.search(unit) or _undone(unit)):  # no clean unit, so no original
+                continue
+            for g, chain, rule in forms(unit, kind):
+                keys.append(_key(g, cls))
+                own.append(o)
+                chains.append(chain)
+                rules.append(_RULES.index(rule))
+        yield pd.DataFrame({"key": np.array(keys, np.uint64).view(np.int64), "o": np.array(own, np.int64), "chain": np.array(chains, np.int8), "rule": np.array(rules, np.int8)})
 
 
 def _pair(a: int, b: int) -> tuple[str, bool] | None:
@@ -248,86 +399,83 @@ def walk(run: str) -> list[tuple[str, str, str]]:
 
 def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame([(u, *x) for u in b["unit"] for x in walk(u)], columns=["unit", "piece", "original", "chain"])
+        rows = [(k1, k2, *x) for u, k1, k2 in zip(b["unit"], b["k1"], b["k2"]) for x in walk(u)]
+        yield pd.DataFrame(rows, columns=["k1", "k2", "piece", "original", "chain"])
 
 
-def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Forms that met a token: verified by garbling the original again; the gain in ordinary writing of each."""
     for b in batches:
         rows = []
-        for unit, kind, n in zip(b["unit"], b["kind"], b["n"]):
-            own, clean = odd(unit), not _undone(unit)
-            most = float("inf") if clean else 0.0
-            rows += [(g, unit, kind, chain, rule, n, 0.0 if rule == "shape" else min(odd(g) - own, most), clean) for g, chain, rule in forms(unit, kind)]
-        yield pd.DataFrame(rows, columns=["form", "original", "kind", "chain", "rule", "n_original", "gain", "clean"])
+        for key, piece, n, original, kind, n_original, chain, rule in zip(*(b[c] for c in ("key", "piece", "n", "original", "kind", "n_original", "chain", "rule"))):
+            if not _same(original, kind, chain, piece):
+                continue
+            gain = 0.0 if _RULES[rule] == "shape" else odd(piece) - odd(original)
+            counted = _RULES[rule] == "shape" or gain >= 0 and n_original > n
+            sure = counted or gain >= SPEAKS and len(piece) >= 4
+            if sure or gain > 0:
+                rows.append((key, piece, original, CHAINS[chain][0], n_original, counted, sure))
+        yield pd.DataFrame(rows, columns=["key", "piece", "original", "chain", "n_original", "counted", "sure"])
 
 
 def garbled_units(found: DataFrame) -> DataFrame:
-    """(unit, kind, piece, original, chain, sure, counted): garbled units among ``found`` (doc_id, key, unit, kind) with what
-    they were; what is not sure counts only in documents where several units agree on the chain (``_agreed``).
+    """(k1, k2, kind, piece, original, chain, sure, counted): garbled units among ``found`` with what they were; what is not
+    sure counts only in documents where several units agree on the chain (``_agreed``).
 
     For a word the piece is the word, for a run the part of it that is a garbled run or character; a unit that holds
     a lost character has a null original.
     """
-    counts = durable(found.groupBy("unit", "kind").agg(F.count_distinct("key").alias("n")), "units")
+    spread = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes that take much work
+    counts = durable(found.groupBy("unit", "kind", "k1", "k2").agg(F.count_distinct("key").alias("n")).repartition(spread, "k1"), "units")
     runs = counts.where("kind = 'run'")
-    chars = (
-        runs.select(F.explode(F.array_distinct(F.split("unit", ""))).alias("unit"), "n").where("unit <> ''")
-        .groupBy("unit").agg(F.sum("n").alias("n")).withColumn("kind", F.lit("char"))
-    )
-    originals = counts.where(~F.col("unit").rlike(r"[0-9]") | F.col("unit").rlike(r"(?=\p{L})[^\x00-\x7f]")).where(F.length("unit") <= 200).unionByName(chars)
-    table = originals.mapInPandas(_forms, "form string, original string, kind string, chain string, rule string, n_original bigint, gain double, clean boolean")
-    pieces = runs.where(F.length("unit") <= 100_000).select("unit").mapInPandas(_pieces, "unit string, piece string")
-    pieces = pieces.unionByName(runs.select("unit", F.col("unit").alias("piece"))).distinct()
-    tokens = durable(
-        counts.where("kind = 'word'").select("unit", "kind", F.col("unit").alias("piece"), "n")
-        .unionByName(
-            pieces.join(pieces.join(runs.select("unit", "n"), "unit").groupBy("piece").agg(F.sum("n").alias("n")), "piece")
-            .select("unit", F.lit("run").alias("kind"), "piece", "n")
-        ),
-        "tokens",
-    )
-    fits = (F.col("kind") == "word") & (F.col("of") == "word") | (F.col("kind") == "run") & (F.col("of") != "word")
-    counted = (F.col("rule") == "shape") | (F.col("gain") >= 0) & (F.col("n_original") > F.col("n"))
-    sure = counted | (F.col("gain") >= SPEAKS) & (F.length("piece") >= 4)
-    best = F.max_by(F.struct("original", "chain", counted.alias("counted")), F.struct(counted, "clean", "n_original", "original"))
-    matched = tokens.join(table.withColumnRenamed("kind", "of").withColumnRenamed("form", "piece"), "piece").where(fits).withColumn("sure", sure)
-    by_chain = matched.where("sure or gain > 0").groupBy("unit", "kind", "piece", "sure", F.when(~F.col("sure"), F.col("chain")).alias("c"))
-    hits = by_chain.agg(best.alias("x")).select("unit", "kind", "piece", "x.original", "x.chain", "sure", "x.counted")
+    parts = runs.select("unit", "n").mapInPandas(_stretches, "unit string, kind string, n bigint").groupBy("unit", "kind").agg(F.sum("n").alias("n"))
+    worded = counts.where(~F.col("unit").rlike(r"[0-9]") | F.col("unit").rlike(r"(?=\p{L})[^\x00-\x7f]")).select("unit", "kind", "n")
+    originals = worded.unionByName(parts).groupBy("unit", "kind").agg(F.max("n").alias("n"))
+    originals = durable(originals.withColumn("o", F.xxhash64("unit", "kind")).repartition(spread, "o"), "originals")
+    tokens = durable(counts.select("unit", "kind", "k1", "k2", "n").mapInPandas(_tokens, "k1 bigint, k2 int, kind string, piece string, key bigint, n bigint"), "tokens")
+    looked = tokens.groupBy("key", "piece").agg(F.sum("n").alias("n"))
+    table = originals.select("unit", "kind", "o").mapInPandas(_form_keys, "key bigint, o bigint, chain tinyint, rule tinyint")
+    met = durable(looked.join(table, "key"), "met")
+    texts = originals.select("o", F.col("unit").alias("original"), "kind", F.col("n").alias("n_original"))
+    judged = met.join(texts, "o").mapInPandas(_judged, "key bigint, piece string, original string, chain string, n_original bigint, counted boolean, sure boolean")
+    best = F.max_by(F.struct("original", "chain", "counted"), F.struct("counted", "n_original", "original", "chain"))
+    by_chain = judged.groupBy("key", "piece", "sure", F.when(~F.col("sure"), F.col("chain")).alias("c")).agg(best.alias("x"))
+    hits = tokens.select("k1", "k2", "kind", "key", "piece").join(by_chain.select("key", "piece", "x.original", "x.chain", "sure", "x.counted"), ["key", "piece"])
+    names = ["k1", "k2", "kind", "piece", "original", "chain", "sure", "counted"]
     lost = counts.where(F.contains("unit", F.lit(LOST))).select(
-        "unit", "kind", F.lit(LOST).alias("piece"), F.lit(None).cast("string").alias("original"), F.lit("lost").alias("chain"), F.lit(True).alias("sure"), F.lit(True).alias("counted")
+        "k1", "k2", "kind", F.lit(LOST).alias("piece"), F.lit(None).cast("string").alias("original"), F.lit("lost").alias("chain"), F.lit(True).alias("sure"), F.lit(True).alias("counted")
     )
-    walked = runs.where(F.length("unit") >= 8).select("unit").mapInPandas(_walked, "unit string, piece string, original string, chain string")
-    walked = walked.select("unit", F.lit("run").alias("kind"), "piece", "original", "chain", F.lit(True).alias("sure"), F.lit(True).alias("counted"))
-    return hits.unionByName(lost).unionByName(walked)
+    walked = runs.where(F.length("unit") >= 8).select("unit", "k1", "k2").mapInPandas(_walked, "k1 bigint, k2 int, piece string, original string, chain string")
+    walked = walked.select("k1", "k2", F.lit("run").alias("kind"), "piece", "original", "chain", F.lit(True).alias("sure"), F.lit(True).alias("counted"))
+    return hits.select(names).unionByName(lost).unionByName(walked)
 
 
 def _agreed(found: DataFrame, hits: DataFrame) -> DataFrame:
-    """(doc_id, unit, kind, piece, original, chain, counted): the hits that are sure, and those on whose chain ``AGREE`` words
-    or runs of the document agree."""
-    rows = found.drop("key").join(hits, ["unit", "kind"])
+    """(doc_id, kind, piece, original, chain, counted): the hits that are sure, and those on whose chain ``AGREE`` words or
+    runs of the document agree."""
+    rows = found.select("doc_id", "k1", "k2").join(hits, ["k1", "k2"])
     loose = rows.where("not sure").select("doc_id", "chain").distinct()
     many = [F.count_distinct(F.when(F.col("kind") == k, F.col("piece"))) for k in ("word", "run")]
     agree = rows.join(loose, ["doc_id", "chain"], "left_semi").groupBy("doc_id", "chain").agg(F.greatest(*many).alias("k")).where(F.col("k") >= AGREE)
-    return rows.where("sure").unionByName(rows.where("not sure").join(agree.select("doc_id", "chain"), ["doc_id", "chain"], "left_semi")).drop("sure")
+    return rows.where("sure").unionByName(rows.where("not sure").join(agree.select("doc_id", "chain"), ["doc_id", "chain"], "left_semi")).drop("sure", "k1", "k2")
 
 
 def affected(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, unit, kind, piece, original, chain) of every garbled unit of every document.
+    """(doc_id, kind, piece, original, chain, counted) of every garbled piece of every document.
 
     Null, empty and pure ASCII texts have none. Texts are read whole; equal texts under several ids are each listed.
     """
     found = durable(units(documents, id_col, text), "found")
-    hits = durable(garbled_units(found), "hits")
-    return _agreed(found, hits)
+    return _agreed(found, durable(garbled_units(found), "hits"))
 
 
 def found_ids(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Ids of the documents that hold a garbled sequence, restorable or not, each once."""
-    found = durable(units(documents, id_col, text), "found")
-    hits = durable(garbled_units(found), "hits")
-    return _agreed(found, hits).select("doc_id").distinct()
+    return affected(documents, id_col, text).select("doc_id").distinct()
 
 
+#: A word gives way only where it stands as a word.
+_BESIDE = r"(?<![^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f])%s(?![^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f])"
 _LEFT = re.compile(r"[^\W\d_]*[^\x00-\x7f](?:[^\W\d_]|[^\x00-\x7f])*")
 
 
@@ -374,9 +522,10 @@ def mend(text: str, pairs: list) -> tuple[str, bool]:
             swap[p["piece"]], chain_of[p["piece"]] = p["original"], p["chain"]
     if not swap:
         return text, LOST not in text and not any(map(_stays, _LEFT.findall(text)))
-    longest = sorted(swap, key=lambda x: (-len(x), x))
+    words = {p["piece"] for p in pairs if p.get("kind") == "word"} - {p["piece"] for p in pairs if p.get("kind") != "word"}
+    longest = [_BESIDE % re.escape(x) if x in words else re.escape(x) for x in sorted(swap, key=lambda x: (-len(x), x))]
     parts, at = [], 0  # (text, chain); "" for what is no unit, "?" for a unit without a hit
-    for m in re.finditer("|".join(map(re.escape, longest)), text):
+    for m in re.finditer("|".join(longest), text):
         parts += _split(text[at : m.start()])
         parts.append((m.group(), chain_of[m.group()]))
         at = m.end()
@@ -414,7 +563,7 @@ def _restore(text: pd.Series, pairs: pd.Series) -> pd.DataFrame:
 def restore(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, restored, whole, chains) of the affected documents; ``whole`` is false where characters stay lost or garbled."""
     pairs = affected(documents, id_col, text).groupBy("doc_id").agg(
-        F.sort_array(F.collect_set(F.struct((~F.col("counted")).alias("later"), "piece", "original", "chain"))).alias("pairs"), F.array_sort(F.collect_set("chain")).alias("chains")
+        F.sort_array(F.collect_set(F.struct((~F.col("counted")).alias("later"), "piece", "original", "chain", "kind"))).alias("pairs"), F.array_sort(F.collect_set("chain")).alias("chains")
     )
     fix = F.pandas_udf(_restore, "restored string, whole boolean")
     joined = documents.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).join(pairs, "doc_id")
