@@ -138,6 +138,19 @@ def distance(a: Sequence, b: Sequence, most: int) -> int:
     return most + 1
 
 
+def common(a: Sequence, b: Sequence) -> int:
+    """Words of a longest common subsequence, by columns of bits: len(b) steps on numbers of len(a) bits."""
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    v = whole
+    for x in b:
+        u = v & places.get(x, 0)
+        v = (v + u | v - u) & whole
+    return len(a) - v.bit_count()
+
+
 def sketch(texts: DataFrame) -> np.ndarray:
     """Counters of all hashes of column ``words``."""
     block = 1 << BLOCK_BITS

@@ -78,7 +78,8 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.defects(_pairs(spark, d), pairs.fit(table(spark, d, "documents")))
+    rows = _pairs(spark, d)
+    return pairs.defects(rows, pairs.fit(table(spark, d, "documents"), rows))
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:

@@ -15,14 +15,17 @@ def test_empty(a):
     assert P.is_empty(a)
 
 
+REFUSALS = P.Refusals.fit([x for t in (EN, DE, FR, ZH) * 3 for x in P.sentences(t)] + ["The eroded pulsar bends the arrow.", "The gate carries the sign in the left margin.", "Two lobes flank the near body."])
+
+
 @pytest.mark.parametrize("a", ["Request declined.", "Cannot comply.", "I'm sorry, but I can't describe this figure.", "As a text model, it is not possible for me to draw up the text.", "Leider darf ich darauf nicht antworten.", "Je ne suis pas en mesure de répondre.", "抱歉，我无法描述这张图。", "This request goes against my guidelines at this time.", "Unfortunately, no description can be given by me."])
 def test_refusal(a):
-    assert P.is_refusal(a) and not P.is_empty(a)
+    assert REFUSALS.is_refusal(a) and not P.is_empty(a)
 
 
 @pytest.mark.parametrize("a", [EN, EN + ' The sign reads "I cannot help with that request".', DE, FR, ZH, "The eroded pulsar cannot pass the gate, so the arrow bends."])
 def test_no_refusal(a):
-    assert not P.is_refusal(a)
+    assert not REFUSALS.is_refusal(a)
 
 
 @pytest.mark.parametrize("a", [Q, Q.upper(), f"“{Q}”", "Sure, here is the description: " + Q, Q + "\n" + Q, Q.lower().replace(",", "").replace(":", ""), Q.replace("feathered", "striped"), "  ".join(Q.split())])
@@ -43,14 +46,27 @@ def test_no_copy(a):
 @pytest.mark.parametrize(("a", "cut"), [
     (EN, False), (EN[:-1], True), (EN[:60], True), ("The end…", True), ("It rests (", True), ('Done. Text to render: "A1", "B2", "C3"', False), ('Done. Text to render: "A1", "B2",', True),
     ("It ends. (The frame stays empty otherwise.)", False), ('It carries the tag "Soz4"', True), (ZH, False), (ZH[:-1], True), ("Is it so?", False), ('Text to render: "A1", "', True),
+    ("It holds several parts, e.g.", True), ("This repeats the shape in No.", True), ("The arrow is missing,,", True), ("Elle relie «", True), (EN + "  \n​", False), ("It rests on the axis. " * 2000 + "It rests", True),
 ])
-def test_unfinished(a, cut):
-    assert P.unfinished(a) is cut
+def test_likelihood_of_the_end(spark, a, cut):
+    m = model(spark)
+    assert bool(m.ends[P.contexts([a])[0]] < P.END_SHARE) is cut
+
+
+def test_contexts_do_not_depend_on_the_batch():
+    texts = [EN, "", "a", DE, 'x "y", "z"', ZH + "\n\n", "\n", FR]
+    assert P.contexts(texts).tolist() == [P.contexts([t])[0] for t in texts]
+
+
+MODELS = {}
 
 
 def model(spark):
-    docs = spark.createDataFrame([(i, t, k) for i in range(12) for t, k in ((EN + f" {i}.", "en"), (DE, "DE"), (FR, "fr-XX"), (ZH, "zh"), (EN, None), ("", "en"))], "id long, text string, lang string").withColumnRenamed("id", "doc_id")
-    return P.fit(docs)
+    if not MODELS:
+        lists = [f'The map shows the {w} rim. Is it so? It is. Text to render: "A{i}", "B{i}"' for i in range(12) for w in ("near", "far")]
+        docs = spark.createDataFrame([(i, t, k) for i in range(12) for t, k in ((EN * 5 + f" {i} bodies.", "en"), (DE, "DE"), (FR, "fr-XX"), (ZH, "zh"), (EN, None), ("Is it so?", "en"), ("", "en"))], "doc_id long, text string, lang string")
+        MODELS[0] = P.fit(docs, spark.createDataFrame([(x,) for x in lists], "answer string"))
+    return MODELS[0]
 
 
 def test_records(spark):
@@ -58,11 +74,11 @@ def test_records(spark):
     assert m.languages.names == ["de", "en", "fr", "zh"]
     rows = [
         ("t", 1, Q, EN), ("t", 2, Q, DE), ("t", 3, Q, EN[:-30]), ("t", 4, Q, None), ("t", 5, Q, Q), ("t", 6, None, EN), ("t", 7, " ", None), ("t", 8, FR, FR + " " + FR[:40] + "."), ("t", 9, FR, EN), ("t", 10, Q, "Request declined."),
-        ("t", 2, Q, DE), ("u", 2, ZH, ZH + "多孔膜采用同样的比例尺。"), ("u", 3, EN, EN * 500 + " It rests on"),
+        ("t", 2, Q, DE), ("u", 2, ZH, ZH + "多孔膜采用同样的比例尺。"), ("u", 3, Q, EN * 500 + " It rests on"), ("u", 4, EN, EN * 500 + " It rests on"),
     ]
     df = spark.createDataFrame(rows, "table_name string, row_id long, question string, answer string")
     got = {(r["table_name"], r["row_id"]): r["defect"] for r in P.defects(df, m).collect()}
-    want = {("t", 2): "wrong_language", ("t", 3): "truncated", ("t", 4): "empty", ("t", 5): "copy", ("t", 7): "empty", ("t", 9): "wrong_language", ("t", 10): "refusal", ("u", 3): "truncated"}
+    want = {("t", 2): "wrong_language", ("t", 3): "truncated", ("t", 4): "empty", ("t", 5): "copy", ("t", 7): "empty", ("t", 9): "wrong_language", ("t", 10): "refusal", ("u", 3): "truncated", ("u", 4): "copy"}
     got.pop(("t", 8), None), got.pop(("u", 2), None)
     assert got == want
     assert P.defects(df.limit(0), m).count() == 0
@@ -82,5 +98,11 @@ def test_long_texts_score_like_their_parts(spark):
 def test_long_and_late_refusals():
     long = "I'm sorry, but I can't describe this figure. " + "My guidelines ask me to leave such requests alone, whatever you need them for. " * 40
     late = "Thank you for your request and for the care you took in writing it. " * 4 + "I cannot help with that."
-    assert P.is_refusal(long) and len(long) > 2000 and P.is_refusal(late)
-    assert not P.is_refusal(EN * 3 + " I cannot describe the rest of it.")
+    assert REFUSALS.is_refusal(long) and len(long) > 2000 and REFUSALS.is_refusal(late)
+    assert not REFUSALS.is_refusal(EN * 3 + " I cannot describe the rest of it.")
+
+
+def test_copies_of_any_length():
+    long = " ".join(f"w{i} and" for i in range(20_000))
+    assert P.is_copy(Q, "\n".join([Q] * 50)) and P.is_copy(long, long.replace("w77 ", "other ")) and not P.is_copy(Q, (EN + " ") * 400)
+    assert not P.is_copy(long, long + " " + EN * 800)
