@@ -6,15 +6,21 @@ least is selected, least by a global order that puts rare hashes first. At most
 edit spoils at most five windows; so of two texts in reach of each other, the 5k + 8 rarest windows of either hold the
 eight rarest common ones (or all, if fewer are common), k being the edits allowed. Only those are joined across
 splits: nothing is lost, and hashes of stock phrases come last in the order and are hardly ever joined. Seeds within
-k of the diagonal, in texts of lengths within k, form the chain of a pair; a chain shorter than the k edits leave is
-dropped before any text is fetched. Whole texts are then aligned.
-
-Frequencies come from all texts: each task adds its hashes into 2 ** SKETCH_BITS counters; the summed counters are of
-fixed size. They only order hashes, so their collisions cost time, never results.
+k of the diagonal, in texts of lengths within k, are counted per pair, and a pair with fewer than the k edits leave is
+dropped before any text is fetched. The seeds of the others are chained: a pair is dropped if its longest chain that
+rises in both texts is shorter than that bound. The chain is then extended: each seed grows to the words around it, and
+what lies between, before and behind is aligned; where that takes edits, the whole texts are aligned, as a chain need
+not lie on the best alignment. Coverage is the share of the evaluation text's words that stand in the training text in
+the same order.
+
+Frequencies come from all texts: each task adds its hashes into counters, whose number grows with the corpus up to
+2 ** MOST_BITS; they are kept in full and sent to the tasks as logarithms, one byte each. They only order hashes, so
+their collisions cost time, never results.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator, Sequence
 
@@ -32,7 +38,8 @@ from figloom.session import durable, release
 GRAM = 4
 WINDOW = 5  # words; WINDOW - GRAM + 1 hashes
 ONE_IN = 10
-SKETCH_BITS = 18
+#: Counters of hashes: 2 ** LEAST_BITS, more so that at most GRAMS_EACH grams fall to each, 2 ** MOST_BITS (16 MB sent) at most.
+LEAST_BITS, MOST_BITS, GRAMS_EACH = 18, 24, 64
 BLOCK_BITS = 12
 SHARED = 8  # windows that two texts in reach must share among their rarest, if they have so many
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -74,9 +81,14 @@ class Grams:
         place = np.arange(n) - starts[text]
         keep = place <= self.sizes[text] - GRAM
         self.hash, self.text, self.place = g[keep], text[keep], place[keep]
+        sign = np.concatenate([[0], h % np.uint64(255) + np.uint64(1), [0]]).astype(np.int64)  # of each word, 0 for none
+        at = np.flatnonzero(keep)
+        left = np.where(self.place > 0, sign[at], 0)
+        right = np.where(self.place < self.sizes[self.text] - GRAM, sign[at + GRAM + 1], 0)
+        self.beside = left << 8 | right
 
-    def buckets(self) -> np.ndarray:
-        return (self.hash >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    def buckets(self, bits: int) -> np.ndarray:
+        return (self.hash >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def spoilt(n: np.ndarray) -> np.ndarray:
@@ -88,16 +100,20 @@ def spoilt(n: np.ndarray) -> np.ndarray:
     return WINDOW * (n // ONE_IN) + np.maximum(0, n % ONE_IN - (ONE_IN - WINDOW))
 
 
-def select(grams: Grams, counts: np.ndarray) -> np.ndarray:
+def ranks(counts: np.ndarray) -> np.ndarray:
+    """Frequencies as bytes that never saturate: four steps to a doubling."""
+    return np.rint(4 * np.log2(1.0 + counts)).astype(np.uint8)
+
+
+def select(grams: Grams, rank: np.ndarray) -> np.ndarray:
     """Which hashes are the fingerprints of the rarest windows of their texts, each place once."""
     if len(grams.hash) < 2:
         return np.zeros(0, np.int64)
-    rare = np.minimum(counts[grams.buckets()], 0xFFFF).astype(np.uint64)
-    order = rare << np.uint64(24) | grams.hash >> np.uint64(40)
+    rare = rank[grams.buckets(len(rank).bit_length() - 1)].astype(np.uint64)
+    order = rare << np.uint64(32) | grams.hash >> np.uint64(32)
     inside = np.flatnonzero(grams.text[1:] == grams.text[:-1])
     at = np.where(order[inside] <= order[inside + 1], inside, inside + 1)
-    key = grams.text[at].astype(np.uint64) << np.uint64(40) | order[at]
-    at = at[np.argsort(key, kind="stable")]
+    at = at[np.lexsort((order[at], grams.text[at]))]
     text, order = grams.text[at], order[at]
     n = np.bincount(text, minlength=len(grams.sizes))
     ends = np.cumsum(n)
@@ -151,15 +167,18 @@ def common(a: Sequence, b: Sequence) -> int:
     return len(a) - v.bit_count()
 
 
-def sketch(texts: DataFrame) -> np.ndarray:
-    """Counters of all hashes of column ``words``."""
+def sketch(texts: DataFrame, bits: int | None = None) -> np.ndarray:
+    """Counters of all hashes of column ``words``; their number follows from the words of all texts."""
+    if bits is None:
+        words = texts.agg(F.sum(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1)).collect()[0][0] or 0
+        bits = min(MOST_BITS, max(LEAST_BITS, (words // GRAMS_EACH).bit_length()))
     block = 1 << BLOCK_BITS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for b in batches:
-            total += np.bincount(Grams(b["words"]).buckets(), minlength=1 << SKETCH_BITS)
-        own = [i for i in range((1 << SKETCH_BITS) // block) if total[i * block : (i + 1) * block].any()]
+            total += np.bincount(Grams(b["words"]).buckets(bits), minlength=1 << bits)
+        own = [i for i in range((1 << bits) // block) if total[i * block : (i + 1) * block].any()]
         yield pd.DataFrame({"block": own, "counts": [total[i * block : (i + 1) * block].tobytes() for i in own]})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
@@ -168,26 +187,32 @@ def sketch(texts: DataFrame) -> np.ndarray:
 
     kind = "block int, counts binary"
     summed = texts.select("words").mapInPandas(count, kind).groupBy("block").applyInPandas(add, kind)
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in summed.collect():  # the counters: 2 ** SKETCH_BITS numbers whatever the data
+    out = np.zeros(1 << bits, np.int64)
+    for r in summed.toLocalIterator():  # at most 2 ** MOST_BITS numbers whatever the data
         out[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["counts"], np.int64)
     return out
 
 
+def _broadcast(texts: DataFrame, counts: np.ndarray):  # noqa: ANN202
+    """Ranks of the counters: a byte each, 16 MB at most."""
+    return texts.sparkSession.sparkContext.broadcast(ranks(counts))
+
+
 def fingerprints(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(cls, n_words, hash, place) of each selected fingerprint of each class."""
-    shared = texts.sparkSession.sparkContext.broadcast(np.minimum(counts, 0xFFFF).astype(np.int32))
+    """(cls, n_words, hash, spot) of each selected fingerprint of each class; the spot is its place and, in 16 bits, signs
+    of the words beside it."""
+    shared = _broadcast(texts, counts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = shared.value
         for b in batches:
             g = Grams(b["words"])
             at = select(g, c)
-            text, place = g.text[at], g.place[at]
+            text, spot = g.text[at], g.place[at].astype(np.int64) << 16 | g.beside[at]
             h = g.hash[at] ^ xxh_field(b["field"])[text]
-            yield pd.DataFrame({"cls": b["cls"].to_numpy()[text], "n_words": g.sizes[text].astype(np.int32), "hash": h.view(np.int64), "place": place.astype(np.int32)})
+            yield pd.DataFrame({"cls": b["cls"].to_numpy()[text], "n_words": g.sizes[text].astype(np.int32), "hash": h.view(np.int64), "spot": spot})
 
-    return texts.select("field", "cls", "words").mapInPandas(run, "cls long, n_words int, hash long, place int")
+    return texts.select("field", "cls", "words").mapInPandas(run, "cls long, n_words int, hash long, spot long")
 
 
 def xxh_field(fields: pd.Series) -> np.ndarray:
@@ -196,14 +221,72 @@ def xxh_field(fields: pd.Series) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x) for x in names], np.uint64)[codes]
 
 
-def _align(rows: pd.DataFrame) -> pd.Series:
+def chain(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
+    """The longest chain of seeds (place in a, place in b) that rises in both texts."""
+    seeds = sorted(set(zip(a, b)), key=lambda s: (s[0], -s[1]))
+    tails: list[int] = []  # last place in b of the best chain of each length
+    last: list[int] = []
+    before: list[int] = []
+    for k, (_, y) in enumerate(seeds):
+        at = bisect.bisect_left(tails, y)
+        before.append(last[at - 1] if at else -1)
+        tails[at : at + 1] = [y]
+        last[at : at + 1] = [k]
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(seeds[k])
+        k = before[k]
+    return out[::-1]
+
+
+def extended(x: Sequence, y: Sequence, seeds: list[tuple[int, int]], most: int) -> int:
+    """Edits between ``x`` and ``y`` along a chain of seeds; ``most`` + 1 if more than ``most``.
+
+    Each seed grows in both directions over equal words; the stretches left between, before and behind are aligned.
+    """
+    edits, i, j = 0, 0, 0
+    for p, q in [*seeds, (len(x), len(y))]:
+        if p < i or q < j:
+            continue  # within what the seed before grew to
+        while p > i and q > j and x[p - 1] == y[q - 1]:
+            p, q = p - 1, q - 1
+        edits += distance(x[i:p], y[j:q], most - edits)
+        if edits > most:
+            return most + 1
+        while p < len(x) and q < len(y) and x[p] == y[q]:
+            p, q = p + 1, q + 1
+        i, j = p, q
+    return edits
+
+
+def _seeds(texts: list[str], rank: np.ndarray) -> list[dict[int, list[int]]]:
+    """Fingerprints of each text: places by hash."""
+    g = Grams(texts)
+    out: list[dict[int, list[int]]] = [{} for _ in texts]
+    for k in select(g, rank):
+        out[g.text[k]].setdefault(int(g.hash[k]), []).append(int(g.place[k]))
+    return out
+
+
+def align(a: Sequence[str], b: Sequence[str], rank: np.ndarray) -> list[tuple[int, int]]:
+    """(edits, words aligned) of pairs of texts, (-1, 0) where they are out of reach: chain, extension, alignment."""
+    each = list(dict.fromkeys([*a, *b]))
+    of = dict(zip(each, _seeds(each, rank)))
     out = []
-    for a, b in zip(rows["words_a"], rows["words_b"]):
-        x, y = a.split(" "), b.split(" ")
-        k = reach(max(len(x), len(y)))
-        d = distance(x, y, k)
-        out.append(d if d <= k else -1)
-    return pd.Series(out, dtype="int32")
+    for s, t in zip(a, b):
+        x, y = s.split(" "), t.split(" ")
+        longer = max(len(x), len(y))
+        k = reach(longer)
+        seeds = [(i, j) for h, places in of[s].items() for i in places for j in of[t].get(h, ()) if abs(i - j) <= k]
+        c = chain([i for i, _ in seeds], [j for _, j in seeds])
+        if 2 * len(c) < min(SHARED, longer - (WINDOW - 1) - WINDOW * k):
+            out.append((-1, 0))
+            continue
+        d = extended(x, y, c, k)
+        if d > 0:
+            d = min(d, distance(x, y, min(k, d)))
+        out.append((d, common(x, y)) if d <= k else (-1, 0))
+    return out
 
 
 def classes(records: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -233,19 +316,23 @@ def classes(records: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, DataF
 
 
 def near_classes(texts: DataFrame) -> DataFrame:
-    """(field, key_a, key_b, edits, words): pairs of different classes in reach, ``a`` with evaluation records and
-    ``b`` with training records; ``words`` counts those of a."""
+    """(field, key_a, key_b, edits, words, aligned): pairs of different classes in reach, ``a`` with evaluation records and
+    ``b`` with training records; ``words`` counts those of a, ``aligned`` those of them that b holds in the same order."""
     counts = sketch(texts)  # few classes are on both sides, so each side makes its own fingerprints
-    a = fingerprints(texts.where("eval"), counts).select("hash", F.col("cls").alias("cls_a"), F.col("n_words").alias("n_a"), F.col("place").alias("at_a"))
-    b = fingerprints(texts.where("train"), counts).select("hash", F.col("cls").alias("cls_b"), F.col("n_words").alias("n_b"), F.col("place").alias("at_b"))
+    a = fingerprints(texts.where("eval"), counts).select("hash", F.col("cls").alias("cls_a"), F.col("n_words").alias("n_a"), F.col("spot").alias("at_a"))
+    b = fingerprints(texts.where("train"), counts).select("hash", F.col("cls").alias("cls_b"), F.col("n_words").alias("n_b"), F.col("spot").alias("at_b"))
     longer = F.greatest("n_a", "n_b")
     k = F.floor(longer / ONE_IN)
     shared = F.least(F.lit(SHARED), longer - (WINDOW - 1) - WINDOW * k)
-    near = (F.abs(F.col("n_a") - F.col("n_b")) <= k) & (F.abs(F.col("at_a") - F.col("at_b")) <= k)
+    places = F.shiftright("at_a", 16) - F.shiftright("at_b", 16)
+    near = (F.abs(F.col("n_a") - F.col("n_b")) <= k) & (F.abs(places) <= k)
+    # a window unspoilt in both texts holds the gram and a word beside it
+    beside = [F.col(c).bitwiseAND(F.lit(m)) for m in (0xFF00, 0xFF) for c in ("at_a", "at_b")]
+    near = near & ((beside[0] == beside[1]) & (beside[0] != 0) | (beside[2] == beside[3]) & (beside[2] != 0))
     pairs = (
         a.join(b, "hash").where((F.col("cls_a") != F.col("cls_b")) & near)
         .groupBy("cls_a", "cls_b").agg(F.count("*").alias("n"), F.max(shared.cast("int")).alias("least"))
-        .where("n * 2 >= least").select("cls_a", "cls_b")
+        .where("n * 2 >= least").select("cls_a", "cls_b")  # a hash is the fingerprint of two windows at most
     )
     pairs = durable(pairs, "pairs")  # their number is known before texts are fetched, so few are sent to the texts
     text = texts.select("field", "key", "words", "cls")
@@ -253,10 +340,10 @@ def near_classes(texts: DataFrame) -> DataFrame:
         pairs.join(text.select("field", F.col("key").alias("key_a"), F.col("words").alias("words_a"), F.col("cls").alias("cls_a")), "cls_a")
         .join(text.select("field", F.col("key").alias("key_b"), F.col("words").alias("words_b"), F.col("cls").alias("cls_b")), ["cls_b", "field"])
     )
-    align = F.pandas_udf(_align, "int")
-    return both.select(
-        "field", "key_a", "key_b", F.size(F.split("words_a", " ")).alias("words"), align(F.struct("words_a", "words_b")).alias("edits")
-    ).where("edits >= 0")
+    rank = _broadcast(texts, counts)
+    aligned = F.pandas_udf(lambda x, y: pd.DataFrame(align(x, y, rank.value), columns=["edits", "aligned"]).astype("int32"), "edits int, aligned int")
+    done = both.select("field", "key_a", "key_b", F.size(F.split("words_a", " ")).alias("words"), aligned("words_a", "words_b").alias("x"))
+    return done.select("field", "key_a", "key_b", "words", "x.edits", "x.aligned").where("edits >= 0")
 
 
 FIELDS = ("sci-RCoT", "science_abstract_prompt")
@@ -280,13 +367,13 @@ def matches(candidates: DataFrame) -> DataFrame:
     records = sided(candidates)
     members, texts = classes(records, FIELDS)
     near = durable(near_classes(texts), "near")
-    same = texts.where("train and eval").select("field", F.col("key").alias("key_a"), F.col("key").alias("key_b"), F.lit(1).alias("words"), F.lit(0).alias("edits"))
+    same = texts.where("train and eval").select("field", F.col("key").alias("key_a"), F.col("key").alias("key_b"), F.lit(1).alias("words"), F.lit(0).alias("edits"), F.lit(1).alias("aligned"))
     linked = near.unionByName(same)
     m = members.distinct()
     by_text = (
         linked.join(m.where(~F.col("train")).select("field", F.col("key").alias("key_a"), F.col("id").alias("eval_id")), ["field", "key_a"])
         .join(m.where("train").select("field", F.col("key").alias("key_b"), F.col("id").alias("train_id")), ["field", "key_b"])
-        .select("eval_id", "train_id", "field", "edits", (1 - F.col("edits") / F.greatest("words", "edits", F.lit(1))).alias("coverage"))
+        .select("eval_id", "train_id", "field", "edits", (F.col("aligned") / F.col("words")).alias("coverage"))
     )
     files = records.where("file_key is not null").select("id", "train", "file_key").distinct()
     by_file = (
