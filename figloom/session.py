@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -67,6 +68,36 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+_FOLDERS: set[str] = set()
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's durable tables; it is deleted when the driver ends (``forget`` for earlier)."""
+    path = f"{shared_dir(spark)}/figloom/{spark.sparkContext.applicationId}"
+    if path not in _FOLDERS:
+        _FOLDERS.add(path)
+        atexit.register(_at_exit, spark, path)
+    return path
+
+
+def _at_exit(spark: SparkSession, path: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, path)
+    except Exception:  # noqa: BLE001
+        pass  # the session is gone; the folder is named by its application and can be deleted by hand
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all durable tables of this application; frames read from them are no longer usable."""
+    _delete(spark, run_folder(spark))
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -77,7 +108,7 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     shuffle files behind the table are given up as soon as it is written.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/figloom/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -90,12 +121,10 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def release(df: DataFrame) -> None:
-    """Delete the files of a ``durable`` table that nothing needs any more."""
+    """Delete the files of a ``durable`` table that nothing needs any more; other frames are left alone."""
     path = getattr(df, "_figloom_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        there = sc._jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(sc._jsc.hadoopConfiguration()).delete(there, True)
+        _delete(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
