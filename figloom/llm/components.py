@@ -7,21 +7,24 @@ share. A key held by a third of all rows is one node, reached through map-side a
 
 Components come from hooking every node to its smallest neighbour, pointer jumping until all point at a root, and
 contracting the edges, until none is left. The table (node, component) can be kept and extended: the components
-it holds enter the next run as single nodes.
+it holds enter the next run as single nodes. ``save`` and ``open_table`` keep it between sessions.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from figloom.session import durable
+from figloom.session import durable, release
 
 NODES = "node string, component string"
 QUARANTINE = "quarantine"
-RANK_BUCKETS = 1024
+#: Components of one size are ranked in buckets of about this many.
+RANK_BUCKET = 100_000
 
 
 def blank_to_null(c: Column) -> Column:
@@ -64,7 +67,8 @@ def connected(edges: DataFrame) -> DataFrame:
             both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("component")),
             "parent",
         )
-        while True:
+        moving = True
+        while moving:
             up = parent.select(F.col("node").alias("component"), F.col("component").alias("root"))
             up2 = parent.select(F.col("node").alias("root"), F.col("component").alias("top"))
             jumped = durable(
@@ -72,18 +76,21 @@ def connected(edges: DataFrame) -> DataFrame:
                 .select("node", F.col("top").alias("component"), (F.col("top") != F.col("component")).alias("moved")),
                 "jump",
             )
-            parent = jumped.select("node", "component")
-            if jumped.where("moved").isEmpty():
-                break
+            moving = not jumped.where("moved").isEmpty()
+            release(parent)
+            parent = jumped
         if labels is None:
-            labels = parent
+            labels = durable(parent.select("node", "component"), "labels")
         else:
             step = parent.select(F.col("node").alias("component"), F.col("component").alias("root"))
-            old = labels.join(step, "component", "left").select(
-                "node", F.coalesce("root", "component").alias("component")
-            )
-            labels = durable(old, "labels")
-        edges = durable(_contract(edges, parent), "edges")
+            merged = durable(labels.join(step, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+            release(labels)
+            labels = merged
+        left = durable(_contract(edges, parent), "edges")
+        release(edges)
+        release(parent)
+        edges = left
+    release(edges)
     return spark.createDataFrame([], NODES) if labels is None else labels
 
 
@@ -150,36 +157,30 @@ def candidate_keys(candidates: DataFrame) -> DataFrame:
 
 
 KEYS = ("source_key", "file_key")
+ID_KEY = "id_key"
+
+
+def tied(records: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
+    """(id, keys, id_key): rows as they are, each once; an id delivered with different keys gets itself as one more key,
+    so that its rows stay together. Ids with one row, and null ids, have none."""
+    each = records.groupBy(id_col).agg(F.collect_set(F.struct(*keys)).alias("_rows"))  # deliveries of one record
+    own = F.when((F.size("_rows") > 1) & F.col(id_col).isNotNull(), F.col(id_col).cast("string"))
+    return each.select(id_col, own.alias(ID_KEY), F.explode("_rows").alias("_row")).select(id_col, *[F.col("_row")[k].alias(k) for k in keys], ID_KEY)
 
 
 def linked_groups(candidates: DataFrame) -> DataFrame:
     """(group_first_id, candidate_id): records of each group with two or more different sources.
 
-    Such a group has a file under two sources. So only those files give edges, and the components found hold
-    exactly the sources in question; records without a source reach them through their file.
+    Groups are read off the component table of all keys; a record without a source belongs through its file.
     """
-    records = durable(candidate_keys(candidates), "keys")
-    pairs = records.where("source_key is not null and file_key is not null").select(*KEYS).distinct()
-    files = durable(
-        pairs.groupBy("file_key").agg(F.min("source_key").alias("least"), F.count("*").alias("n")).where("n > 1"),
-        "files",
-    )
-    edges = pairs.join(files, "file_key").where("source_key <> least").select(
-        F.col("source_key").alias("u"), F.col("least").alias("v")
-    )
-    roots = connected(edges)
-    by_source = roots.select(F.col("node").alias("source_key"), "component")
-    with_source = records.join(by_source, "source_key").select("candidate_id", "component")
-    # a file of one source leads to that source, a file of several to the smallest of them
-    orphans = records.where("source_key is null and file_key is not null")
-    least = (
-        pairs.join(orphans.select("file_key").distinct(), "file_key", "left_semi")
-        .groupBy("file_key").agg(F.min("source_key").alias("source_key"))
-    )
-    without = orphans.join(least.join(by_source, "source_key"), "file_key").select("candidate_id", "component")
-    members = durable(with_source.unionByName(without), "members")
-    first = members.groupBy("component").agg(F.min("candidate_id").alias("group_first_id"))
-    return members.join(first, "component").select("group_first_id", "candidate_id")
+    records = durable(tied(candidate_keys(candidates), KEYS, "candidate_id"), "keys")
+    every = (*KEYS, ID_KEY)
+    nodes = durable(components(records, every), "nodes")
+    placed = durable(attach(records, every, nodes).where("component is not null").select("component", "candidate_id", "source_key"), "placed")
+    groups = placed.groupBy("component").agg(
+        F.min("candidate_id").alias("group_first_id"), F.min("source_key").alias("_least"), F.max("source_key").alias("_most")
+    ).where("_least <> _most")
+    return placed.join(groups, "component").select("group_first_id", "candidate_id").distinct()
 
 
 def _quotas(histogram: list[tuple[int, int]], targets: Sequence[tuple[str, float]], have: dict[str, int]) -> list[tuple]:
@@ -234,7 +235,8 @@ def assign_splits(
     names = [k for k, _ in targets]
     have = {k: have.get(k, 0) for k in names}
     quotas = spark.createDataFrame(_quotas(histogram, targets, have), "n_records bigint, ends array<bigint>")
-    ranked = free.withColumn("_b", F.pmod(F.xxhash64("component"), F.lit(RANK_BUCKETS)))
+    buckets = max(1, math.ceil(max((n for _, n in histogram), default=0) / RANK_BUCKET))
+    ranked = free.withColumn("_b", F.pmod(F.xxhash64("component"), F.lit(buckets)))
     per = ranked.groupBy("n_records", "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("n_records").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select("n_records", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -257,18 +259,17 @@ def extend(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One increment: (nodes, splits, records), each kept in the shared folder and input of the next increment.
 
-    nodes: (node, component); splits: (component, n_records, split); records: (id, keys). A record without any key
-    is a component of its own. ``known_splits`` name components of the previous increment; where two of different
+    nodes: (node, component); splits: (component, n_records, split); records: (id, keys, id_key). A record without any
+    key is a component of its own; an id that comes with different keys, in one increment or several, ties them. ``known_splits`` name components of the previous increment; where two of different
     splits are now one, its records are quarantined.
     """
     flat = records.select(id_col, *keys).distinct()
-    nodes = durable(components(flat, keys, known_nodes), "nodes")
-    every = flat if known_records is None else known_records.unionByName(flat).distinct()
-    every = durable(every, "records")
-    placed = attach(every, keys, nodes).select(
-        id_col, F.coalesce("component", F.concat(F.lit("id|"), F.col(id_col).cast("string"))).alias("component")
-    )
-    sizes = placed.groupBy("component").agg(F.count_distinct(id_col).alias("n_records"))
+    every = flat if known_records is None else known_records.select(id_col, *keys).unionByName(flat)
+    every = durable(tied(every, keys, id_col), "records")
+    fresh = every if known_records is None else every.join(flat.select(id_col).distinct(), id_col, "left_semi")
+    all_keys = (*keys, ID_KEY)
+    nodes = durable(components(fresh, all_keys, known_nodes), "nodes")
+    sizes = place(every, keys, nodes, id_col).groupBy("component").agg(F.count_distinct(id_col).alias("n_records"))
     known = None
     if known_splits is not None:
         names = nodes.select(F.col("node").alias("old"), "component")
@@ -278,17 +279,74 @@ def extend(
     return nodes, durable(assign_splits(sizes, targets, known), "splits"), every
 
 
+def place(records: DataFrame, keys: Sequence[str], nodes: DataFrame, id_col: str) -> DataFrame:
+    """(id, component) of the records (id, keys, id_key) of an increment; one without keys is a component of its own."""
+    alone = F.concat(F.lit("id|"), F.col(id_col).cast("string"))
+    return attach(records, (*keys, ID_KEY), nodes).select(id_col, F.coalesce("component", alone).alias("component")).distinct()
+
+
+@dataclass
+class Kept:
+    """The component table of all increments so far, as ``extend`` returns it."""
+
+    nodes: DataFrame
+    splits: DataFrame
+    records: DataFrame
+
+
+_PARTS = ("nodes", "splits", "records")
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions under ``path`` that were written to their end."""
+    sc = spark.sparkContext
+    there = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(there):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(there)]
+    return sorted(int(n.removeprefix("complete-")) for n in names if n.startswith("complete-"))
+
+
+def save(path: str, nodes: DataFrame, splits: DataFrame, records: DataFrame) -> int:
+    """Keep an increment as the next version under ``path``; it counts once its mark, made last, is there.
+
+    The mark is created only if it is not there yet, so of two sessions that write at once one fails.
+    """
+    spark = nodes.sparkSession
+    version = (_versions(spark, path) or [0])[-1] + 1
+    for name, df in zip(_PARTS, (nodes, splits, records)):
+        df.write.mode("overwrite").parquet(f"{path}/v{version}/{name}")
+    sc = spark.sparkContext
+    mark = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/complete-{version}")
+    mark.getFileSystem(sc._jsc.hadoopConfiguration()).create(mark, False).close()
+    return version
+
+
+def open_table(spark: SparkSession, path: str) -> Kept | None:
+    """The newest whole version under ``path``; None where there is none."""
+    versions = _versions(spark, path)
+    return Kept(*(spark.read.parquet(f"{path}/v{versions[-1]}/{name}") for name in _PARTS)) if versions else None
+
+
+def extend_kept(
+    path: str, records: DataFrame, targets: Sequence[tuple[str, float]], keys: Sequence[str] = KEYS, id_col: str = "candidate_id"
+) -> Kept:
+    """One increment on the table kept under ``path``, which begins empty; the new version is saved and returned."""
+    spark = records.sparkSession
+    old = open_table(spark, path)
+    known = (old.nodes, old.splits, old.records) if old else (None, None, None)
+    save(path, *extend(records, targets, keys, id_col, *known))
+    return open_table(spark, path)  # type: ignore[return-value]
+
+
 def split_records(candidates: DataFrame, targets: Sequence[tuple[str, float]]) -> DataFrame:
-    """(candidate_id, component, split) of every record, all assigned in one increment.
+    """(candidate_id, component, split) of every record once, all assigned in one increment.
 
-    A record delivered twice under one id with different keys would be listed with each of them.
+    A record delivered under one id with different keys ties them together, so it has one component and one split.
     """
-    records = candidate_keys(candidates)
-    nodes, splits, every = extend(records, targets)
-    return attach(every, KEYS, nodes).select(
-        "candidate_id",
-        F.coalesce("component", F.concat(F.lit("id|"), F.col("candidate_id").cast("string"))).alias("component"),
-    ).join(splits.select("component", "split"), "component").select("candidate_id", "component", "split").distinct()
+    nodes, splits, every = extend(candidate_keys(candidates), targets)
+    return place(every, KEYS, nodes, "candidate_id").join(splits.select("component", "split"), "component").select("candidate_id", "component", "split")
 
 
 def split_report(splits: DataFrame, targets: DataFrame) -> DataFrame:

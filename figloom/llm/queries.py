@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from figloom.llm import components, cutoff, markup, mixture, mojibake, overlap, pairs, tokenise
-from figloom.session import durable, table
+from figloom.session import durable, run_folder, table
 
 
 def _split_targets(spark: SparkSession, d: str) -> list[tuple[str, float]]:
     """The table of splits wanted; it names the splits, so it has a handful of rows whatever the data."""
-    rows = table(spark, d, "split_targets").orderBy("split").limit(64).collect()
+    rows = table(spark, d, "split_targets").orderBy("split").collect()
     return [(r["split"], float(r["target_pct"])) for r in rows]
 
 
@@ -36,12 +37,10 @@ def p1_incremental(spark: SparkSession, d: str) -> DataFrame:
     targets = _split_targets(spark, d)
     rows = table(spark, d, "candidates")
     early = F.coalesce(F.col("batch") == 2, F.lit(False))
-    nodes, splits, records = components.extend(components.candidate_keys(rows.where(early)), targets)
-    _, splits, _ = components.extend(
-        components.candidate_keys(rows.where(~early)), targets,
-        known_nodes=nodes, known_splits=splits, known_records=records,
-    )
-    return components.split_report(splits, table(spark, d, "split_targets"))
+    path = f"{run_folder(spark)}/splits-{uuid.uuid4().hex}"
+    for part in (early, ~early):  # each increment opens the table that the one before has kept
+        kept = components.extend_kept(path, components.candidate_keys(rows.where(part)), targets)
+    return components.split_report(kept.splits, table(spark, d, "split_targets"))
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:

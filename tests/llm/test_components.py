@@ -85,7 +85,7 @@ def test_increment_keeps_splits_and_quarantines_conflicts(spark):
     same = [names[c] for c, s in before.items() if s == "test"][1][2:]
     more = spark.createDataFrame([(100, a, "link"), (101, b, "link"), (102, same, "new"), (103, "s900", "new2")], first.schema)
     nodes2, splits2, all_ = C.extend(more, targets, known_nodes=nodes, known_splits=splits, known_records=records)
-    of = {r["candidate_id"]: r["component"] for r in C.attach(all_, C.KEYS, nodes2).collect()}
+    of = {r["candidate_id"]: r["component"] for r in C.place(all_, C.KEYS, nodes2, 'candidate_id').collect()}
     after = {r["component"]: r["split"] for r in splits2.collect()}
     assert after[of[100]] == after[of[101]] == C.QUARANTINE and after[of[102]] == "test" and after[of[103]] in ("test", "train")
     kept = [i for i in range(40) if f"s{i}" not in (a, b)]
@@ -98,3 +98,32 @@ def test_empty_table_and_clashing_columns(spark):
     assert C.split_records(empty, [("train", 100)]).count() == 0
     one = spark.createDataFrame([(1, None, " ", "x", "y", 3), (2, "a", "p", "x", "y", 3)], empty.schema)
     assert C.linked_groups(one).count() == 0 and C.split_records(one, [("train", 100)]).count() == 2
+
+
+def test_one_id_with_different_keys_is_one_record(spark):
+    rows = [(1, "a", "p.png"), (1, "b", "q.png"), (2, "a", "r.png"), (3, "b", None), (4, None, None), (4, "c", None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = {r["candidate_id"]: (r["component"], r["split"]) for r in C.split_records(df, [("test", 50), ("train", 50)]).collect()}
+    assert len(out) == 4 and out[1] == out[2] == out[3] != out[4]
+    assert {tuple(r) for r in C.linked_groups(df).collect()} == {(1, 1), (1, 2), (1, 3)}
+
+
+def test_second_session_extends_the_kept_table(spark, tmp_path):
+    path, targets = f"file://{tmp_path}/kept", [("test", 50), ("train", 50)]
+    schema = "candidate_id long, source_key string, file_key string"
+    assert C.open_table(spark, path) is None
+    first = C.extend_kept(path, spark.createDataFrame([(i, f"s{i}", f"f{i}") for i in range(30)], schema), targets)
+    split = {r["component"]: r["split"] for r in first.splits.collect()}
+    by_id = {r["candidate_id"]: r["component"] for r in C.place(first.records, C.KEYS, first.nodes, "candidate_id").collect()}
+    a = next(i for i in by_id if split[by_id[i]] == "test")
+    b = next(i for i in by_id if split[by_id[i]] == "train")
+    session = spark.newSession()
+    (tmp_path / "kept" / "v2").mkdir()  # a run that died before its end counts for nothing
+    more = session.createDataFrame([(100, f"s{a}", f"f{b}"), (101, "s900", "f900"), (a, f"s{a}", "f901"), (102, None, "f901")], schema)
+    C.extend_kept(path, more, targets)
+    kept = C.open_table(session, path)
+    after = {r["component"]: r["split"] for r in kept.splits.collect()}
+    now = {r["candidate_id"]: after[r["component"]] for r in C.place(kept.records, C.KEYS, kept.nodes, "candidate_id").collect()}
+    assert len(now) == 33 and now[100] == now[a] == now[b] == now[102] == C.QUARANTINE and now[101] in ("test", "train")
+    assert all(now[i] == split[c] for i, c in by_id.items() if i not in (a, b))
+    assert C._versions(session, path) == [1, 2]
