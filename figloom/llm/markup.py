@@ -1,14 +1,17 @@
 """Markup residue in text documents.
 
-A text is cut into leaf blocks: every sign sequence that markup may be made of, and the plain text between. A
-bidirectional LSTM, in numpy, reads for each block a vector of its tag path (kind of sequence, place in the line, what
-stands open around it) and of its hashed words, and labels every block with the whole document as context: the same
-star is a list item among others, emphasis in a pair, or a mark of significance. The text is then rebuilt by label.
-The network is trained here on documents made from plain values of the data and a grammar of markup and of signs.
+A text is cut into leaf blocks: every sign or sign sequence that markup may be made of, and the plain text between;
+forms that enclose text give a block at each end. A bidirectional LSTM, in numpy, reads for each block a vector of its
+tag path (kind, name, place in the line, depth, signs beside it, how often the kind occurs) and of its hashed words, and
+labels every block with the whole document as context: the same star is a list item among others, emphasis in a pair, or
+a mark of significance. The label alone decides whether a block is markup; blocks of one form share theirs. The text is
+then rebuilt by label. The network is trained here on documents made from plain values of the data and a grammar of
+markup and of signs.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import random
 import re
@@ -22,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LABELS = ("text", "sign", "heading", "list", "quote", "code", "formula", "table", "inline", "entity", "drop")
-PATHS, WORDS, DIM, HIDDEN = 2048, 4096, 20, 24
+PATHS, WORDS, DIM, HIDDEN = 4096, 4096, 20, 24
 UNREAD = 0.25  # share of the blocks whose words are hidden in training, as the words of other corpora are new
 #: Plain values the training documents are made from, at most, and how many documents are made.
-SAMPLE_VALUES, TRAIN_DOCS, EPOCHS, BATCH = 2000, 3000, 7, 30
+SAMPLE_VALUES, TRAIN_DOCS, EPOCHS, BATCH = 2000, 3600, 6, 30
 
 #: The sign sequences that may be markup, the first that fits.
 _KINDS = (
@@ -44,14 +47,14 @@ _KINDS = (
     ("mlink", r"\[[^\[\]\n]+\]\([^()\s]+\)"),
     ("xlink", r"\[(?:https?|ftp)://[^\s\]]+[^\]\n]*\]"),
     ("wheading", r"^(?P<eq>={1,6})[^=\n][^\n]*?(?P=eq)[ \t]*$"),
-    ("mheading", r"^#{1,6}[ \t]+[^\n]+$"),
+    ("mheading", r"^#{1,6}[ \t]+(?=\S)"),
     ("lquote", r"``[^`'\n]+''"),
     ("quotes", r"'{2,5}"),
     ("bold", r"(?<![\w*])\*\*(?=[^\s*])[^\n*]*?[^\s*]\*\*(?![\w*])|(?<![\w_])__(?=[^\s_])[^\n]*?[^\s_]__(?![\w_])"),
     ("italic", r"(?<![\w*])\*(?=[^\s*])[^\n*]*?[^\s*]\*(?![\w*])|(?<![\w_])_(?=[^\s_])[^\n_]*?[^\s_]_(?![\w_])"),
     ("strike", r"~~(?=\S)[^\n]*?\S~~"),
     ("tick", r"``[^`\n]+``|`[^`\n]+`"),
-    ("item", r"^[ \t]*[-*+•][ \t]+(?=\S)"),
+    ("item", r"^[ \t]*(?:[-+•]|\*{1,4}|[*#]{2,4})[ \t]+(?=\S)"),
     ("number", r"^[ \t]*\d{1,3}[.)][ \t]+(?=\S)"),
     ("quote", r"^[ \t]*>[ \t]?"),
     ("rule", r"^[ \t]*(?:-{3,}|\*{3,}|_{3,})[ \t]*$"),
@@ -62,11 +65,8 @@ _KINDS = (
     ("odd", r"\*+|~+|#+|<|>|&|\$|_|\^|[|{}\\`=+]"),
 )
 _LEX = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _KINDS), re.MULTILINE | re.DOTALL)
-#: Kinds that are never markup, whatever a label says: the exact look after the network.
-NEVER = frozenset({"brace", "note", "odd"})
-#: Forms that plain writing hardly takes: they stay markup unless the network is this sure that they are not.
-PLAIN_FORM = frozenset({"item", "number", "quote", "italic", "mheading", "rule", "escape"})
-SURE, EVEN = 0.95, 0.5
+#: What every one of these holds: a text without any of it has no block but plain ones.
+_ANY = re.compile(r"[<>&*_`~#$|\\{}\[\]=^+•]|''|!!|^[ \t]*(?:-|\d{1,3}[.)])[ \t]|^[ \t]*---", re.MULTILINE)
 
 
 @dataclass
@@ -74,14 +74,51 @@ class Block:
     kind: str
     start: int
     text: str
-    path: str = ""
-    mates: int = 0
+    role: str = ""  # open or close for forms around text, cell for signs between cells
+    form: int = -1  # blocks of one form have one label
+    name: str = ""
+    path: tuple[str, ...] = ()
+
+
+#: Commands whose last argument is text, with the level of those that are headings.
+_HEADINGS = {"title": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4, "subparagraph": 5}
+_TEXTUAL = frozenset("textit textbf textsc textrm textsf emph underline text mbox caption footnote footnotesize small large textsuperscript textsubscript uline".split()) | set(_HEADINGS)
+_COMMAND = re.compile(r"\\([A-Za-z]+)\*?")
+_SIMPLE = {"bold": (2, 2), "italic": (1, 1), "strike": (2, 2), "lquote": (2, 2)}
+
+
+def _ends(kind: str, t: str) -> tuple[int, int] | None:
+    """Lengths of what stands before and behind the text that a form encloses; None where it encloses none."""
+    if kind in _SIMPLE:
+        return _SIMPLE[kind]
+    if kind == "wheading":
+        head, tail = len(t) - len(t.lstrip("=").lstrip(" \t")), len(t) - len(t.rstrip(" \t").rstrip("=").rstrip(" \t"))
+        return (head, tail) if head + tail < len(t) else None
+    if kind in ("mlink", "image"):
+        return t.index("[") + 1, len(t) - t.rindex("](")
+    if kind == "wlink":
+        if re.match(r"\[\[\s*(?:Category|File|Image)\s*:", t, re.IGNORECASE):
+            return None
+        return t.rindex("|") + 1 if "|" in t else 2, 2
+    if kind == "command" and t.endswith("}") and _COMMAND.match(t).group(1) in _TEXTUAL:  # type: ignore[union-attr]
+        head = re.match(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{", t)
+        if head and t.count("{", head.end()) == t.count("}", head.end()) - 1:
+            return head.end(), 1
+    return None
+
+
+def _cells(kind: str, t: str) -> list[tuple[int, int]]:
+    """Spans of the signs between the cells of a table row; none for lines without cells."""
+    if kind == "mtable" and not re.fullmatch(r"[|\s:-]+", t):
+        return [m.span() for m in re.finditer(r"[ \t]*\|[ \t]*", t)]
+    if kind == "wtable" and not re.match(r"\{\||\|-|\|\}", t):
+        return [m.span() for m in re.finditer(r"^[|!][ \t]*|[ \t]*(?:\|\||!!)[ \t]*", t)]
+    return []
 
 
 def blocks(text: str) -> list[Block]:
     """Leaf blocks of a text, in order; together they are the text."""
     out: list[Block] = []
-    at = 0
 
     def plain(lo: int, hi: int) -> None:
         while lo < hi:
@@ -90,41 +127,99 @@ def blocks(text: str) -> list[Block]:
             out.append(Block("plain", lo, text[lo:end]))
             lo = end
 
-    for m in _LEX.finditer(text):
-        if m.end() == m.start():
-            continue
-        plain(at, m.start())
-        out.append(Block(m.lastgroup or "odd", m.start(), m.group()))
-        at = m.end()
-    plain(at, len(text))
+    def lex(lo: int, hi: int) -> None:
+        at = lo
+        for m in _LEX.finditer(text, lo, hi):
+            if m.end() == m.start():
+                continue
+            plain(at, m.start())
+            kind, t, start, at = m.lastgroup or "odd", m.group(), m.start(), m.end()
+            form = len(out)
+            if ends := _ends(kind, t):
+                out.append(Block(kind, start, t[: ends[0]], "open", form, t))
+                lex(start + ends[0], at - ends[1])
+                out.append(Block(kind, at - ends[1], t[len(t) - ends[1] :], "close", form, t))
+            elif cells := _cells(kind, t):
+                for k, (a, b) in enumerate(cells):
+                    out.append(Block(kind, start + a, t[a:b], "cell" if 0 < k < len(cells) - (kind == "mtable") else "edge", form))
+                    lex(start + b, start + (cells[k + 1][0] if k + 1 < len(cells) else len(t)))
+            else:
+                out.append(Block(kind, start, t, "", form))
+        plain(at, hi)
+
+    if _ANY.search(text):
+        lex(0, len(text))
+    else:
+        plain(0, len(text))
     seen: dict[str, int] = {}
     for b in out:
-        seen[b.kind] = seen.get(b.kind, 0) + 1
+        seen[b.kind] = seen.get(b.kind, 0) + (b.role not in ("close", "cell"))
     depth = 0
     for b in out:
-        first = b.start == 0 or text[b.start - 1] == "\n"
-        b.mates = seen[b.kind]
-        inner = re.match(r"\W*([A-Za-z]*)", b.text).group(1).lower()[:12] if b.kind in ("tag", "command", "template") else ""  # type: ignore[union-attr]
-        b.path = f"{'/' * min(depth, 3)}{b.kind}:{inner}:{'^' if first else '-'}{'0' if b.start == 0 else '+'}{min(b.mates, 3)}"
+        if b.kind == "plain":
+            b.path = ("plain",)
+            continue
+        end = b.start + len(b.text)
+        name = re.match(r"\W*([A-Za-z]*)", b.text).group(1).lower()[:12] if b.kind in ("tag", "command", "template", "entity", "fence", "math") else ""  # type: ignore[union-attr]
+        k = b.kind + b.role
+        b.path = (
+            k, f"{k}:{name}", f"{k}^{'line' if b.start == 0 or text[b.start - 1] == chr(10) else ''}{'0' if b.start == 0 else ''}", f"{k}*{min(seen[b.kind], 3)}", f"{k}/{min(depth, 3)}",
+            f"{k}<{_beside(text, b.start - 1)}", f"{k}>{_beside(text, end)}", f"{k}={_shape(b.text)}",
+        )
         if b.kind == "tag":
             depth = max(0, depth + (-1 if b.text.startswith("</") else 0 if b.text.endswith("/>") else 1))
+        depth = max(0, depth + (b.role == "open") - (b.role == "close"))
     return out
 
 
+def _beside(text: str, at: int) -> str:
+    c = text[at] if 0 <= at < len(text) else "\n"
+    return "a" if c.isalpha() else "9" if c.isdigit() else "s" if c in " \t" else c
+
+
+def _shape(t: str) -> str:
+    """Runs of letters, digits and blanks as one sign, whole."""
+    return re.sub(r"\s+", " ", re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", "a", t)))
+
+
+@functools.lru_cache(1 << 18)
+def _hash(x: str, n: int) -> int:
+    return zlib.crc32(x.encode("utf-8", "replace")) % n
+
+
 def _words(b: Block) -> list[int]:
-    found = re.findall(r"[^\W\d_]+|\d+|[^\w\s]+", b.text[:4000] if b.kind == "plain" else b.text)
-    return [zlib.crc32(w.lower().encode()) % WORDS for w in (found[:12] + found[-4:] if len(found) > 16 else found)]
+    """All words and sign runs of a block."""
+    return [_hash(w, WORDS) for w in re.findall(r"[^\W\d_]+|\d+|[^\w\s]+", b.text.lower())]
 
 
-def features(seq: Sequence[Block]) -> tuple[np.ndarray, list[list[int]]]:
-    return np.array([zlib.crc32(b.path.encode()) % PATHS for b in seq]), [_words(b) for b in seq]
+def features(seq: Sequence[Block]) -> tuple[list[list[int]], list[list[int]]]:
+    return [[_hash(x, PATHS) for x in b.path] for b in seq], [_words(b) for b in seq]
 
 
 # --- the network -----------------------------------------------------------------------------------------------
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner of each member, size of each list (1 for empty ones), and the members one after another."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.repeat(np.arange(len(lists)), sizes), np.maximum(sizes, 1), np.fromiter((w for x in lists for w in x), np.int64, int(sizes.sum()))
+
+
+def _together(seq: list[Block], a: np.ndarray) -> np.ndarray:
+    """Scores with those of the blocks of one form added up."""
+    forms: dict[int, list[int]] = {}
+    for k, b in enumerate(seq):
+        if b.form >= 0:
+            forms.setdefault(b.form, []).append(k)
+    a = a - np.logaddexp.reduce(a, 1, keepdims=True)
+    for own in forms.values():
+        if len(own) > 1:
+            a[own] = a[own].sum(0)
+    return a
+
+
 class Labeller:
-    """Bidirectional LSTM over (tag path vector, mean of word vectors), a softmax over LABELS per block."""
+    """Bidirectional LSTM over (mean of tag path vectors, mean of word vectors), a softmax over LABELS per block."""
 
     def __init__(self, seed: int = 11) -> None:
         r = np.random.default_rng(seed)
@@ -135,15 +230,12 @@ class Labeller:
             "O": r.normal(0, 1 / np.sqrt(2 * h + n), (2 * h + n, len(LABELS))), "o": np.zeros(len(LABELS)),
         }
 
-    def embed(self, paths: np.ndarray, bags: list[list[int]]) -> np.ndarray:
+    def embed(self, paths: list[list[int]], bags: list[list[int]]) -> np.ndarray:
         x = np.zeros((len(bags), 2 * DIM))
-        x[:, :DIM] = self.p["path"][paths]
-        sizes = np.array([len(b) for b in bags])
-        flat = np.array([w for b in bags for w in b], np.int64)
-        if len(flat):
-            own = np.repeat(np.arange(len(bags)), sizes)
-            np.add.at(x[:, DIM:], own, self.p["word"][flat])
-            x[:, DIM:] /= np.maximum(sizes, 1)[:, None]
+        for lo, name, lists in ((0, "path", paths), (DIM, "word", bags)):
+            own, sizes, flat = _flat(lists)
+            np.add.at(x[:, lo : lo + DIM], own, self.p[name][flat])
+            x[:, lo : lo + DIM] /= sizes[:, None]
         return x
 
     def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
@@ -171,7 +263,7 @@ class Labeller:
         both = np.concatenate([self._run(x, mask, "f", False)[0], self._run(x, mask, "b", False)[0], x], 2)
         return both @ self.p["O"] + self.p["o"]
 
-    def step(self, paths: np.ndarray, bags: list[list[int]], shape: tuple[int, int], where: tuple, labels: np.ndarray, adam: dict, rate: float) -> float:
+    def step(self, paths: list[list[int]], bags: list[list[int]], shape: tuple[int, int], where: tuple, labels: np.ndarray, adam: dict, rate: float) -> float:
         """One batch of training; ``where`` = (step, row) of each block."""
         flat = self.embed(paths, bags)
         x = np.zeros((*shape, 2 * DIM))
@@ -210,11 +302,9 @@ class Labeller:
                 dh = dh * (1 - m) + dz[:, 2 * DIM :]
                 ds = ds * (1 - m) + dcell * f
         dflat = dx[where]
-        np.add.at(g["path"], paths, dflat[:, :DIM])
-        sizes = np.array([len(b) for b in bags])
-        words = np.array([w for b in bags for w in b], np.int64)
-        if len(words):
-            np.add.at(g["word"], words, np.repeat(dflat[:, DIM:] / np.maximum(sizes, 1)[:, None], sizes, axis=0))
+        for lo, name, lists in ((0, "path", paths), (DIM, "word", bags)):
+            own, sizes, words = _flat(lists)
+            np.add.at(g[name], words, (dflat[:, lo : lo + DIM] / sizes[:, None])[own])
         adam["t"] = adam.get("t", 0) + 1
         for k, v in g.items():
             m1 = adam.setdefault("m" + k, np.zeros_like(v))
@@ -225,9 +315,9 @@ class Labeller:
         return float(loss)
 
     def label(self, seqs: list[list[Block]]) -> list[list[str]]:
-        """Labels of every block; documents of like length go through together."""
-        out: list[list[str]] = [[] for _ in seqs]
-        order = sorted((i for i in range(len(seqs)) if seqs[i]), key=lambda i: len(seqs[i]))
+        """Labels of every block; documents of like length go through together, those of plain text need no look."""
+        out: list[list[str]] = [["text"] * len(s) for s in seqs]
+        order = sorted((i for i in range(len(seqs)) if any(b.form >= 0 for b in seqs[i])), key=lambda i: len(seqs[i]))
         at = 0
         while at < len(order):
             end = at + 1
@@ -240,13 +330,9 @@ class Labeller:
             x, mask = np.zeros((steps, len(part), 2 * DIM)), np.zeros((steps, len(part)))
             x[where], mask[where] = self.embed(*features(rows)), 1
             a = self.scores(x, mask)
-            q = np.exp(a - a.max(2, keepdims=True))
-            least = np.full((steps, len(part)), SURE)
-            least[where] = [EVEN if b.kind in PLAIN_FORM or b.kind in NEVER or b.kind == "plain" else SURE for b in rows]
-            bare = q[..., :2].sum(2) >= least * q.sum(2)  # text or sign, or else the likeliest kind of markup
-            best = np.where(bare, q[..., :2].argmax(2), q[..., 2:].argmax(2) + 2)
             for k, i in enumerate(part):
-                out[i] = [LABELS[j] for j in best[: len(seqs[i]), k]]
+                best = _together(seqs[i], a[: len(seqs[i]), k]).argmax(1)
+                out[i] = [LABELS[j] for j in best]
             at = end
         return out
 
@@ -273,28 +359,41 @@ def _made(rng: random.Random, pool: list[str]) -> list[tuple[str, str]]:
 
     n = rng.randint(1, 99)
     inline = [
-        lambda: [(f"<{(t := rng.choice(['b', 'i', 'em', 'EM', 'strong', 'sub', 'sup', 'u', 'span', 'div', 'a', 'p', 'title', 'font', 'small']))}{rng.choice(['', '', f' class="lbl-{n}"', f' href="#f{n}"', f' id=x{n}'])}>", "inline"), (words(), "text"), (f"</{t}>", "inline")],
+        lambda: [(f"<{(t := rng.choice(['b', 'i', 'em', 'EM', 'strong', 'sub', 'sup', 'u', 'span', 'div', 'a', 'p', 'title', 'font', 'small']))}{rng.choice(['', '', f' class="c{n}"', f' href="#f{n}"', f' id=x{n}'])}>", "inline"), (words(), "text"), (f"</{t}>", "inline")],
         lambda: [(rng.choice([f"<br{rng.choice(['', '/', ' /'])}>", "<BR>", "<hr/>", f'<img src="p{n}.png"/>']), "inline")],
-        lambda: [(rng.choice([f"<!-- panel {n} -->", f"<!-- {words()} -->", f'<ref name="r{n}" />', f"<ref>{words()}</ref>", f"{{{{Infobox|{words()}|{n}}}}}", r"\label{fig:%d}" % n, f"[[Category:{words()}]]"]), "drop")],
+        lambda: [(rng.choice([f"<!-- panel {n} -->", f"<!-- {words()} -->", f'<ref name="r{n}" />', f"<ref>{words()}</ref>", f"{{{{Plate|{words()}|{n}}}}}", r"\label{fig:%d}" % n, f"[[Category:{words()}]]"]), "drop")],
         lambda: [(rng.choice(["&mu;", "&nbsp;", "&lt;", "&gt;", "&amp;", "&deg;", "&ndash;", "&alpha;", "&quot;", "&eacute;", f"&#{rng.choice([945, 176, 8211, 946, 181])};", "&#x3B2;", "&#xB5;"]), "entity")],
         lambda: [(f"{{{{unit|{n}|nm}}}}", "inline")],
-        lambda: [(f"[[{rng.choice(['', f'Atlas:YP-{n}|'])}{words()}]]", "inline")],
+        lambda: [(f"[[{rng.choice(['', f'{words(1, 1)}:{n}|'])}{words()}]]", "inline")],
         lambda: [(q := rng.choice(["''", "'''", "'''''"]), "inline"), (words(), "text"), (q, "inline")],
         lambda: [(f"{(q := rng.choice(['**', '*', '__', '_', '~~', '`', '``']))}{words()}{q}", "code" if "`" in q else "inline")],
         lambda: [(f"{rng.choice(['', '!'])}[{words()}](figs/{n}.md)", "inline")],
         lambda: [(rng.choice([r"\textit{%s}", r"\emph{%s}", r"\textbf{%s}", r"\underline{%s}", r"\texttt{%s}"]) % words(), "inline")],
-        lambda: [(rng.choice([r"\cite{k%d}", r"\ref{fig:%d}", r"\SI{%d}{\micro\metre}", r"\footnote{%d}", r"\alpha", r"\eqref{e%d}"]).replace("%d", str(n)), "inline")],
+        lambda: [(rng.choice([r"\cite{k%d}", r"\ref{fig:%d}", r"\SI{%d}{\nano\metre}", r"\footnote{%d}", r"\alpha", r"\eqref{e%d}"]).replace("%d", str(n)), "inline")],
         lambda: [(rng.choice(["$%s$", r"\(%s\)", "<math>%s</math>", "$$ %s $$", r"\[%s\]"]) % formula(), "formula")],
         lambda: [(rng.choice([r"\%", r"\&", r"\_", r"\\"]), "inline")],
         lambda: [("``" + words() + "''", "inline")],
         lambda: [(f"<a href=\"#p{n}\">", "inline"), (words(), "text"), ("</a>", "inline"), (" " + words() + " ", "text"), ("<i>", "inline"), (words(), "text"), ("</i>", "inline")],
     ]
-    signs = [
-        "a < b and b > c hold in every panel.", "*P < 0.05, **P < 0.01, ***P < 0.001.", "The {111} and {100} facets are marked.", f"Adapted from ref. [{n}]; prices in $ per kg (${n} to $5).",
-        f"See run log batch_{n}_b and probe_x_2.", f"Sample #{n} & sample #{n + 1} were pooled.", "Signs: + up, - down, = equal.", f"n = {n} * 3 wells per plate.", "* marks a missing spot, ~3% of all.",
-        "Sets {a, b} and [a, b) are shown side by side.", "Ratio A/B; R&D batch, P_max not shown.", f"Values <{n} nm and >{n + 3} nm are left out.", f"See [{n}] and [{n + 1}–{n + 4}].", f"* P = 0.0{n}; ** P < 0.001 (n={n}).",
-        f"# of cells > {n}, x^2 fit, ~{n} %.", "- denotes no data; + denotes growth.", f"Cost was ${n} and not $3.", "Temperatures were <5 K or >300 K.", f"file_name_{n}.tif | left panel", f"{n}. Here, the scale differs.",
-    ]
+    def sign() -> str:
+        x, y, w, v, m = rng.choice("abkmnpqtuvxyzEFT"), rng.choice("cdfghjrsw"), words(1, 1), words(1, 2), rng.randint(2, 300)
+        unit = rng.choice(["nm", "K", "%", "mV", "kPa", "s"])
+        return rng.choice([
+            lambda: rng.choice([f"{v} < {n} {unit}", f"{x}<{n} & {y}>{m}", f"{n} < {x} < {m}", f"<{n} {unit}, not >{m} {unit}", f"{x} > {y} <= {m}", f"{w} (<{n} {unit})", f"{x} >> {y}"]),
+            lambda: rng.choice([f"*p<0.0{n}; **p<0.00{n}", f"*, {v}; **, {w}", f"{w}* and {v}**", f"*{w} vs {v}, p = 0.0{n}", f"(*) {v}", f"{n} * {m} {unit}", f"{w} ***, n = {m}", f"* {v} (p < 0.{n})", f"**p < 0.{n}, ***p < 0.0{n}"]),
+            lambda: rng.choice([f"[{n}]", f"[{n}, {m}]", f"[{n}-{m}]", f"{{{n}}} planes", f"{{{x}, {y}, {w}}}", f"[{w}]", f"({n}, {m}]", f"[{x}, {y})", f"{{{n} {m} 0}}", f"[{n}]–[{m}]", f"[{w} {n}, {v}]", f"[{x}]({n})"]),
+            lambda: rng.choice([f"${n}", f"US${n}.50", f"${n}–${m} a run", f"A${n}, NZ${m}", f"{n}$ or {m}$", f"${n}k ({v})", f"about ${n}, then ${m} each"]),
+            lambda: rng.choice([f"{w}_{n}", f"{w}_{x}_{n}.csv", f"{x}_{y}, {x}_{w}", f"_{n}", f"{w}_ and _{v}", f"{x}_max/{y}_min", f"{w}_{n}_{w}_{m}"]),
+            lambda: rng.choice([f"#{n}", f"# {v}: {m}", f"{w} #{n} ({v})", f"#{w}", f"# = {m} {unit}", f"# {w} >= {n}"]),
+            lambda: rng.choice([f"- {v}: {n}", f"+ {v}, - {w}", f"- {w}; + {v}; ± {n}", f"+ {n} {unit}", f"- = {w}", f"{n}. {sentence()}", f"({n}) {v}", f"> {n} {unit}, {v}", f"* {v}"]),
+            lambda: rng.choice([f"<{x}> = {n}", f"<{x}{y}> over {v}", f"|{x}| < {n}", f"|{x}| + |{y}|", f"<{x}|{y}>", f"|{x}|", f"{x} | {y} | {w}", f"<{v}> = {n} {unit}", f"|| {v}"]),
+            lambda: rng.choice([f"{n}'' wide", f"{n}' {m}''", f"{x}'', {y}''", f"~{n} {unit}", f"~ {v}", f"{w} & {v}", f"S&P{n}; {v}", f"R&D{n}; {w}", f"{w}&{v}", f"{x}^{n}, {y}^-{n}", f"10^{n}", f"{x} = {n}", f"{x} == {y}", f"{w} ` {v}", f"{x} ≤ {n} `{y}"]),
+            lambda: rng.choice([f"C:\\{w}\\{w}_{n}", f"D:\\{w}{n}", f"\\\\{w}\\{v}", f"{w}\\{x}", f"{x} \\ {y}", f"--- {v}", f"{v} --- {w}"]),
+        ])()
+
+    def signs() -> str:
+        return rng.choice(["", "", words(1, 4) + " "]) + sign() + rng.choice(["", ".", " " + words(1, 4) + ".", ", " + sign() + "."])
+
     out: list[tuple[str, str]] = []
     if rng.random() < 0.3:  # a short value, whole or in part one piece of markup
         t = words(3, 8)
@@ -303,18 +402,18 @@ def _made(rng: random.Random, pool: list[str]) -> list[tuple[str, str]]:
             [(f"{(q := '=' * rng.randint(1, 5))} {t} {q}", "heading")], [(r"\%s{%s}" % (rng.choice(["section", "section*", "title", "paragraph"]), t), "heading")],
             [(f"<{(g := rng.choice(['b', 'i', 'p', 'title', 'EM', 'span', 'div', 'strong', 'center']))}>", "inline"), (t, "text"), *rng.choice([[], [(f"</{g}>", "inline")]])],
             [(f"<h{(k := rng.randint(1, 6))}>", "heading"), (t, "text"), (f"</h{k}>", "heading")],
-            [(q := rng.choice(["''", ", ''"]), "inline"), (t, "text"), (q, "inline")], [(rng.choice([r"\textbf{%s}", r"\emph{%s}", r"\textit{%s}"]) % t, "inline")],
+            [(q := rng.choice(["''", "'''"]), "inline"), (t, "text"), (q, "inline")], [(rng.choice([r"\textbf{%s}", r"\emph{%s}", r"\textit{%s}"]) % t, "inline")],
             [(t + " ", "text"), *rng.choice(inline)()], [*rng.choice(inline)(), (" " + t, "text")], [(t + " ", "text"), *rng.choice(inline)(), (" " + words(), "text")],
-            [(f"``{t}''", "inline")], [(rng.choice(signs), "sign")], [(t, "text")], [(t + " ", "text"), (rng.choice(signs), "sign")],
+            [(f"``{t}''", "inline")], [(signs(), "sign")], [(sign(), "sign")], [(t, "text")], [(t + " ", "text"), (signs(), "sign")], [(signs() + " ", "sign"), (t, "text")],
         ]
         return [(a, b) for a, b in rng.choice(whole) if a]
     kind = rng.random()
     nl = rng.choice(["\n", "\n\n"])
     if 0.22 <= kind < 0.27:
-        out += [(f"{{{{Infobox {words(1, 1)}|name={words(2, 4)}|n={n}}}}}", "drop"), (rng.choice([" ", nl]), "text")]
+        out += [(f"{{{{Data box {words(1, 1)}|name={words(2, 4)}|n={n}}}}}", "drop"), (rng.choice([" ", nl]), "text")]
     if kind < 0.22:
         out.append(rng.choice([
-            (f"{'#' * rng.randint(1, 4)} {words(2, 4)}", "heading"), (f"{(q := '=' * rng.randint(2, 4))} {words(2, 4)} {q}", "heading"), (r"\%s{%s}" % (rng.choice(["section", "section*", "paragraph", "subsection"]), words(2, 4)), "heading"),
+            (f"{'#' * rng.randint(1, 4)} {words(2, 4)}", "heading"), (f"{'#' * rng.randint(1, 4)} {words(1, 2)} **{words(1, 2)}**", "heading"), (f"{(q := '=' * rng.randint(2, 4))} {words(2, 4)} {q}", "heading"), (r"\%s{%s}" % (rng.choice(["section", "section*", "paragraph", "subsection"]), words(2, 4)), "heading"),
             (f"<h{(k := rng.randint(1, 4))}>{words(2, 4)}</h{k}>", "heading"),
         ]))
         out.append((nl, "text"))
@@ -325,7 +424,7 @@ def _made(rng: random.Random, pool: list[str]) -> list[tuple[str, str]]:
         elif pick < 0.45:
             out += [(nl, "text"), (rng.choice(["$$ %s $$", r"\[ %s \]", r"\begin{equation} %s \end{equation}"]) % formula(), "formula"), (nl, "text")]
         elif pick < 0.65:
-            out.append((rng.choice(signs), "sign"))
+            out += [(rng.choice(["", "", nl]), "text"), (signs(), "sign")]
         else:
             w = sentence().split(" ")
             i = rng.randrange(len(w) + 1)
@@ -335,7 +434,7 @@ def _made(rng: random.Random, pool: list[str]) -> list[tuple[str, str]]:
         out.append((" ", "text"))
     if kind > 0.55:
         out.append((nl, "text"))
-        how = rng.randrange(11)
+        how = rng.randrange(15)
         lines = [sentence() for _ in range(rng.randint(2, 4))]
         if how < 3:
             mark = ("-", "*", "+")[how]
@@ -356,14 +455,22 @@ def _made(rng: random.Random, pool: list[str]) -> list[tuple[str, str]]:
             out += [x for s in lines for x in (("<p>", "inline"), (s, "text"), ("</p>", "inline"), (rng.choice(["", "\n"]), "text"))]
         elif how == 9:
             out += [("<table>", "table"), *[x for s in lines[:2] for x in (("<tr>", "table"), ("<td>", "table"), (words(), "text"), ("</td>", "table"), ("<td>", "table"), (f"{n} nm", "text"), ("</td>", "table"), ("</tr>", "table"))], ("</table>", "table"), (sentence(), "text")]
+        elif how == 10:
+            env = rng.choice(["itemize", "enumerate"])
+            out += [(r"\begin{%s}" % env, "list"), *[x for s in lines for x in ((r"\item", "list"), (" " + s + "\n", "text"))], (r"\end{%s}" % env, "list")]
+        elif how == 11:
+            out += [x for s in lines for x in (("# ", "list"), (s + "\n", "text"))]
+        elif how == 12:
+            out += [x for i, s in enumerate(lines) for x in ((rng.choice(["- ", "* "]) if i == 0 else rng.choice(["- ", "  - ", "    - ", "** ", "## "]), "list"), (s + "\n", "text"))]
+        elif how == 13:
+            t2 = [("**", "inline"), (words(), "text"), ("**", "inline")]
+            out += [x for _ in range(2) for x in (("| ", "table"), (words(), "text"), (" | ", "table"), *t2, (" |", "table"), ("\n", "text"))]
         else:
-            out += [(r"\begin{itemize}", "list"), *[x for s in lines for x in ((r"\item", "list"), (" " + s + "\n", "text"))], (r"\end{itemize}", "list")]
+            out += [("<blockquote>", "quote"), (lines[0], "text"), ("</blockquote>", "quote")]
     return [(a, b) for a, b in out if a]
 
 
-_LIST_TAG = re.compile(r"</?(?:ul|ol|li|dl|dd|dt)\b", re.IGNORECASE)
 _TABLE_TAG = re.compile(r"</?(?:table|tr|td|th|tbody|thead|caption)\b", re.IGNORECASE)
-_HEAD_TAG = re.compile(r"</?h[1-6]\b", re.IGNORECASE)
 
 
 def _truth(seq: list[Block], pieces: list[tuple[str, str]]) -> np.ndarray:
@@ -375,8 +482,8 @@ def _truth(seq: list[Block], pieces: list[tuple[str, str]]) -> np.ndarray:
             label = "text"
         elif label == "text":
             label = "sign"
-        elif label == "heading" and b.kind == "tag":
-            label = "heading" if _HEAD_TAG.match(b.text) else label
+        elif label == "heading" and b.kind in ("bold", "italic", "strike", "wlink"):
+            label = "inline"
         elif label == "inline" and b.kind == "tag" and _TABLE_TAG.match(b.text):
             label = "table"
         out.append(LABELS.index(label))
@@ -402,7 +509,7 @@ def train(plain_values: Sequence[str], seed: int = 5, docs: int = TRAIN_DOCS, ep
             shape = (max(len(y) for _, y in part), len(part))
             where = (np.concatenate([np.arange(len(y)) for _, y in part]), np.concatenate([np.full(len(y), k) for k, (_, y) in enumerate(part)]))
             bags = [[] if rng.random() < UNREAD else w for x, _ in part for w in x[1]]
-            net.step(np.concatenate([x[0] for x, _ in part]), bags, shape, where, np.concatenate([y for _, y in part]), adam, 0.01 if epoch < epochs - 2 else 0.003)
+            net.step([w for x, _ in part for w in x[0]], bags, shape, where, np.concatenate([y for _, y in part]), adam, 0.01 if epoch < epochs - 2 else 0.003)
     return net
 
 
@@ -410,8 +517,8 @@ def train(plain_values: Sequence[str], seed: int = 5, docs: int = TRAIN_DOCS, ep
 
 
 def is_markup(b: Block, label: str) -> bool:
-    """Labelled as markup, and of a form that markup has."""
-    return label not in ("text", "sign") and b.kind not in NEVER and b.kind != "plain"
+    """A block of more than plain text that the network labels as markup."""
+    return b.kind != "plain" and label not in ("text", "sign")
 
 
 def _strip_math(t: str) -> str:
@@ -419,80 +526,144 @@ def _strip_math(t: str) -> str:
     return t.strip()
 
 
-def _render(b: Block) -> str:
-    t, k = b.text, b.kind
-    if k in ("comment", "ref", "rule", "quotes", "escape"):
-        return t[1:] if k == "escape" and t != "\\\\" else "\n" if t == "\\\\" else ""
-    if k == "math":
-        return f"${_strip_math(t)}$"
-    if k in ("fence", "pre"):
-        inner = re.sub(r"^\s*(?:```|~~~)[^\n]*\n?|\n?[ \t]*(?:```|~~~)[ \t]*$|^(?:<pre\b[^>]*>)?(?:<code\b[^>]*>)?|(?:</code>)?(?:</pre>)?$|\\(?:begin|end)\{\w+\}", "", t)
-        inner = html.unescape(inner) if k == "pre" else inner
-        return "\n```\n" + inner.strip("\n") + "\n```\n" if "\n" in inner or k == "fence" or "<pre" in t else f"`{inner}`"
-    if k == "tag":
-        name = re.match(r"</?\s*(\w+)", t).group(1).lower()  # type: ignore[union-attr]
-        closing = t.startswith("</")
+#: Signs of the writer: begins a line where none begins, and takes the end of its line with it.
+_NEW, _GONE = "\ue002", "\ue001"
+
+
+class Writer:
+    """Renders blocks one after another; knows the lists that are open."""
+
+    def __init__(self) -> None:
+        self.lists: list[int | None] = []  # next number of each open list, None for one without numbers
+        self.counts: dict[int, int] = {}  # last number at each depth of a list of wiki lines
+        self.line = -1  # place where the last wiki item ended its line
+
+    def item(self) -> str:
+        depth = max(0, len(self.lists) - 1)
+        mark = "- "
+        if self.lists and (n := self.lists[-1]) is not None:
+            mark, self.lists[-1] = f"{n}. ", n + 1
+        return _NEW + "  " * depth + mark
+
+    def wiki(self, marks: str) -> str:
+        """An item of a wiki list: stars and hashes, as many as it is deep."""
+        depth = len(marks) - 1
+        self.counts = {k: v for k, v in self.counts.items() if k <= depth}
+        if marks[-1] == "*":
+            return "  " * depth + "- "
+        self.counts[depth] = self.counts.get(depth, 0) + 1
+        return "  " * depth + f"{self.counts[depth]}. "
+
+    def tag(self, t: str) -> str:
+        name = re.match(r"</?\s*(\w+)|", t).group(1)  # type: ignore[union-attr]
+        name, closing = (name or "").lower(), t.startswith("</")
+        if name in ("ul", "ol", "dl"):
+            if not closing:
+                self.lists.append(1 if name == "ol" else None)
+            elif self.lists:
+                self.lists.pop()
+            return "\n" if len(self.lists) == (not closing) else ""
         if name in ("li", "dd", "dt"):
-            return "" if closing else "\n- "
-        if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            return "\n" if closing else "\n# "
+            return "" if closing else self.item()
+        if re.fullmatch("h[1-6]", name):
+            return "\n" if closing else "\n" + "#" * int(name[1]) + " "
         if name in ("td", "th"):
             return " | " if closing else ""
-        return "\n" if name in ("p", "br", "div", "ul", "ol", "table", "tr", "title", "hr", "dl") else ""
-    if k == "entity":
-        return html.unescape(t).replace("\xa0", " ")
-    if k in ("wheading", "mheading"):
-        return "# " + t.strip().strip("#=").strip()
-    if k == "wtable":
-        return "" if re.match(r"\{\||\|-|\|\}", t) else " | ".join(x.strip() for x in re.split(r"\|\||!!", t.lstrip("|!")))
-    if k == "mtable":
-        cells = [x.strip() for x in t.strip().strip("|").split("|")]
-        return "" if all(re.fullmatch(r":?-+:?", x) for x in cells) else " | ".join(cells)
-    if k == "template":
-        parts = [p for p in t[2:-2].split("|") if "=" not in p]
-        return " ".join(parts[1:]) if parts and parts[0].strip().lower() == "unit" else ""
-    if k == "wlink":
-        return "" if re.match(r"\[\[(?:Category|File|Image):", t) else t[2:-2].split("|")[-1]
-    if k in ("image", "mlink"):
-        return re.match(r"!?\[([^\]]*)\]", t).group(1)  # type: ignore[union-attr]
-    if k == "xlink":
-        return t[1:-1].partition(" ")[2]
-    if k == "lquote":
-        return f"“{t[2:-2]}”"
-    if k in ("bold", "strike"):
-        return t[2:-2]
-    if k == "italic":
-        return t[1:-1]
-    if k == "tick":
-        return "`" + t.strip("`") + "`"
-    if k == "item":
-        return "- "
-    if k == "number":
-        return t.strip() + " "
-    if k == "quote":
-        return ""
-    if k == "command":
-        name = re.match(r"\\([A-Za-z]+)", t).group(1)  # type: ignore[union-attr]
-        args = re.findall(r"\{((?:[^{}]|\{[^{}]*\})*)\}", t)
+        if name == "blockquote":
+            return "\n" if closing else "\n> "
+        return "\n" if name in ("p", "br", "div", "table", "tr", "title", "hr", "center") else ""
+
+    def command(self, b: Block) -> str:
+        name = _COMMAND.match(b.name or b.text)
+        if name is None:
+            return ""
+        name = name.group(1)
+        if b.role == "close":
+            return "\n" if name in _HEADINGS else ")" if name == "footnote" else ""
+        if b.role == "open":
+            return "\n" + "#" * _HEADINGS[name] + " " if name in _HEADINGS else " (" if name == "footnote" else ""
+        args = re.findall(r"\{((?:[^{}]|\{[^{}]*\})*)\}", b.text)
         if name == "item":
-            return "- "
-        if name in ("begin", "end", "label", "centering", "noindent"):
+            return self.item()
+        if name in ("begin", "end"):
+            if args and args[0].rstrip("*") in ("itemize", "enumerate", "description"):
+                if name == "begin":
+                    self.lists.append(1 if args[0].startswith("enum") else None)
+                elif self.lists:
+                    self.lists.pop()
+            return ""
+        if name in ("label", "centering", "noindent", "maketitle", "par", "hline"):
             return ""
-        if name in ("section", "subsection", "subsubsection", "paragraph", "chapter", "title"):
-            return "\n# " + " ".join(args) + "\n"
-        if name in ("cite", "ref", "eqref", "citep", "citet"):
+        if name in ("cite", "ref", "eqref", "citep", "citet", "autoref"):
             return f"[{', '.join(args)}]" if args else ""
-        if name == "SI":
+        if name in ("SI", "si", "num"):
             return " ".join(re.sub(r"\\([A-Za-z]+)", r"\1", a) for a in args)
-        return " ".join(args) if args else f"${t}$"
-    return t
+        if name in ("texttt", "verb", "lstinline"):
+            return f"`{' '.join(args)}`"
+        return " ".join(args) if args else f"${b.text}$"
+
+    def render(self, b: Block, label: str) -> str:
+        t, k = b.text, b.kind
+        if k in ("comment", "ref", "rule", "quotes"):
+            return ""
+        if k == "escape":
+            return "\n" if t == "\\\\" else t[1:]
+        if k == "math":
+            return f"${_strip_math(t)}$"
+        if k in ("fence", "pre"):
+            inner = re.sub(r"^\s*(?:```|~~~)[^\n]*\n?|\n?[ \t]*(?:```|~~~)[ \t]*$|^(?:<pre\b[^>]*>)?(?:<code\b[^>]*>)?|(?:</code>)?(?:</pre>)?$|\\(?:begin|end)\{\w+\}", "", t)
+            inner = html.unescape(inner) if k == "pre" else inner
+            return "\n```\n" + inner.strip("\n") + "\n```\n" if "\n" in inner or k == "fence" or "<pre" in t else f"`{inner}`"
+        if k == "tag":
+            return self.tag(t)
+        if k == "entity":
+            return html.unescape(t).replace("\xa0", " ")
+        if k == "wheading":
+            return "#" * (len(t) - len(t.lstrip("="))) + " " if b.role == "open" else ""
+        if k == "mheading":
+            return self.wiki("#") if label == "list" else t.strip() + " "
+        if k in ("wtable", "mtable"):
+            return " | " if b.role == "cell" else "" if b.role == "edge" else _GONE
+        if k == "template":
+            parts = [p for p in t[2:-2].split("|") if "=" not in p]
+            return " ".join(parts[1:]) if parts and parts[0].strip().lower() == "unit" else ""
+        if k == "lquote":
+            return "“" if b.role == "open" else "”"
+        if b.role:
+            return self.command(b) if k == "command" else ""
+        if k == "wlink":
+            return ""
+        if k == "xlink":
+            return t[1:-1].partition(" ")[2]
+        if k == "tick":
+            return "`" + t.strip("`") + "`"
+        if k == "item":
+            marks = t.strip()
+            if re.fullmatch(r"[*#]+", marks) and (len(marks) > 1 or "*" in marks and not t[0].isspace()):
+                return self.wiki(marks)
+            return t[: len(t) - len(t.lstrip())].replace("\t", "  ") + "- "
+        if k == "number":
+            return t[: len(t) - len(t.lstrip())].replace("\t", "  ") + t.strip() + " "
+        if k == "quote":
+            return "> "
+        return self.command(b) if k == "command" else t
 
 
 def clean(seq: Sequence[Block], labels: Sequence[str]) -> str:
-    """Text with headings as ``# ...`` lines, list items as ``- ...`` lines, code in back-ticks and formulas in dollars."""
-    t = "".join(_render(b) if is_markup(b, x) else b.text for b, x in zip(seq, labels))
-    t = re.sub(r"[ \t]+\n", "\n", re.sub(r"\n{3,}", "\n\n", t))
-    return re.sub(r"(?m)( \| )+$", "", t).strip("\n")
+    """Text with headings as ``#`` lines of their level, items as ``-`` or numbered lines indented by depth, quotations as
+    ``>`` lines, cells between ``|``, code in back-ticks and formulas in dollars."""
+    w, out = Writer(), []
+    for b, x in zip(seq, labels):
+        if is_markup(b, x):
+            out.append(w.render(b, x))
+            continue
+        if b.kind == "plain" and "\n\n" in b.text + "\n" and b.text.strip() == "":
+            w.counts = {}
+        out.append(b.text)
+    t = re.sub(rf"[ \t]*\n*{_NEW}", "\n", re.sub(rf"{_GONE}[ \t]*\n?", "", "".join(out)))
+    t = re.sub(r"(?m)^( *(?:-|\d+\.)) {2,}", r"\1 ", re.sub(r"[ \t]+\n", "\n", t))
+    t = re.sub(r"(?m)^( \| )+|( \| )+$", "", re.sub(r"\n{3,}", "\n\n", t))
+    return t.strip("\n")
 
 
 FIELDS = ("figure_title", "figure_caption")
@@ -506,10 +677,18 @@ def values(metadata: DataFrame, id_col: str = "row_id", fields: Sequence[str] =
     return rows.select("row_id", "x.field", "x.text").where("text is not null and text <> ''")
 
 
+_FITTED: dict[int, Labeller] = {}
+
+
 def fit(texts: DataFrame, sample: int = SAMPLE_VALUES) -> Labeller:
-    """Fitted on made documents around at most ``sample`` values without any sign that markup has."""
-    plain = texts.where(~F.col("text").rlike(_PLAIN)).select("text").limit(sample).collect()
-    return train(sorted(r["text"] for r in plain))
+    """Fitted on made documents around at most ``sample`` values without any sign that markup has, those of the least
+    hashes; kept for the process, so the same values are fitted once."""
+    plain = texts.where(~F.col("text").rlike(_PLAIN)).select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(sample).collect()
+    pool = sorted(r["text"] for r in plain)
+    key = zlib.crc32("\0".join(pool).encode())
+    if key not in _FITTED:
+        _FITTED[key] = train(pool)
+    return _FITTED[key]
 
 
 def labelled(texts: DataFrame, net: Labeller) -> DataFrame:
