@@ -113,6 +113,13 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mixture.report(*_mix(spark, d))
 
 
+def p8_filled_report(spark: SparkSession, d: str) -> DataFrame:
+    """The mix of as many tokens as all documents have: sources stop at their repeats, the report shows the shortfall."""
+    sizes = mixture.sized(table(spark, d, "documents"))
+    plan = durable(mixture.rates(sizes, table(spark, d, "mix_targets"), sizes.agg(F.sum("n_tokens")).scalar()), "plan")
+    return mixture.report(mixture.mix(sizes, plan), plan)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.found_ids(table(spark, d, "documents"))
 
@@ -122,7 +129,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p1_report, p1_incremental, p2_found, p2_clean, p3_found, p3_report, p5_found, p5_report, p6_found, p6_cutoffs, p7_ids, p8_mix, p8_report, p9_found, p9_restored)
+    f.__name__: f for f in (p1_found, p1_splits, p1_report, p1_incremental, p2_found, p2_clean, p3_found, p3_report, p5_found, p5_report, p6_found, p6_cutoffs, p7_ids, p8_mix, p8_report, p8_filled_report, p9_found, p9_restored)
 }
 
 _P6 = """

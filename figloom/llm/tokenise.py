@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -118,8 +120,10 @@ class Encoder:
 def encode(documents: DataFrame, id_col: str = "doc_id", text: str = "text", path: str = f"{TOKENIZERS}/{VOCABULARY}", keep: tuple[str, ...] = (), counts_only: bool = False) -> DataFrame:
     """(id, *keep, ids) or, with ``counts_only``, (id, *keep, n_tokens) of every row; a null text has no tokens.
 
-    ``path`` is a vocabulary file every executor can read. No row is exchanged between tasks.
+    ``path`` is a vocabulary file on the driver, sent to every executor once. No row is exchanged between tasks.
     """
+    documents.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
     rows = documents.select(id_col, *keep, text)
     kinds = [rows.schema[c] for c in (id_col, *keep)]
     last = T.StructField("n_tokens", T.LongType()) if counts_only else T.StructField("ids", T.ArrayType(T.IntegerType(), False))
@@ -127,7 +131,7 @@ def encode(documents: DataFrame, id_col: str = "doc_id", text: str = "text", pat
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in kinds] + [(last.name, pa.int64() if counts_only else pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(SparkFiles.get(name))
         for b in batches:
             coded = [encoder(t) for t in b.column(len(kinds)).to_pylist()]
             sizes = np.fromiter(map(len, coded), np.int64, len(coded))

@@ -28,3 +28,15 @@ def test_names_are_normalised_and_empty_input_gives_an_empty_mix(spark):
     assert sorted((r["doc_id"], r["copy_no"]) for r in M.mix(sizes, plan).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (4, 1), (4, 2)]
     none = M.rates(sizes.limit(0), targets)
     assert M.mix(sizes.limit(0), none).count() == 0 and M.report(M.mix(sizes.limit(0), none), none).first()["actual_share"] == 0.0
+
+
+def test_a_size_is_filled_as_far_as_repeats_allow(spark):
+    sizes = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2900, "big").otherwise("small").alias("source"), F.lit(10).cast("long").alias("n_tokens"))
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 3)], "source string, target_share double, max_repeats int")
+    plan = M.rates(sizes, targets, 20_000)
+    rep = {r["source"]: r for r in M.report(M.mix(sizes, plan), plan).collect()}
+    assert rep["small"]["rate"] == 3.0 and rep["small"]["mixed_tokens"] == 3000 and abs(rep["big"]["mixed_tokens"] - 10_000) < 500
+    assert rep["small"]["actual_share"] < 0.25 < rep["small"]["share"]
+    again = {r["source"]: r["rate"] for r in M.rates(sizes, targets, F.lit(20_000)).collect()}
+    assert again == {k: r["rate"] for k, r in rep.items()}
+    assert M.rates(sizes.limit(0), targets, 100).agg(F.sum("rate")).first()[0] == 0
