@@ -20,17 +20,36 @@ def _braced(text: Column) -> Column:
     return F.when(x != "", x)
 
 
+def _let(x: Column, then) -> Column:  # noqa: ANN001
+    """``then(x)`` with ``x`` computed once, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(x), then), 1)
+
+
 def relevance_reply(reply: Column) -> Column:
-    """JSON text of the object with ``relevance``: fences off, else the outermost braces, else one level down; null if none."""
+    """JSON text of the object with ``relevance``: fences off, else the outermost braces, else one level down; null if none.
+
+    The text and what stands in its braces are each parsed once.
+    """
     t = F.regexp_replace(F.regexp_replace(strip(reply), r"^```(?:json)?\s*", ""), r"\s*```$", "")
 
-    def holding(x: Column) -> Column:
-        return F.when(F.try_variant_get(F.try_parse_json(x), "$.relevance", "variant").isNotNull(), x)
+    def pair(x: Column) -> Column:
+        return F.struct(x.alias("text"), F.try_parse_json(x).alias("json"))
+
+    def holding(p: Column) -> Column:
+        return F.when(F.try_variant_get(p["json"], "$.relevance", "variant").isNotNull(), p["text"])
+
+    def entries(p: Column) -> Column:
+        return F.try_variant_get(p["json"], "$", "map<string,variant>")
+
+    def deeper(whole: Column, inner: Column) -> Column:
+        objects = F.transform(F.map_values(F.coalesce(entries(whole), entries(inner))), lambda v: F.to_json(v))
+        return F.try_element_at(F.filter(objects, lambda s: s.startswith("{") & s.contains('"relevance"')), F.lit(1))
+
+    def read(whole: Column) -> Column:
+        rest = _let(pair(_braced(whole["text"])), lambda inner: F.coalesce(holding(inner), _let(pair(deeper(whole, inner)), holding)))
+        return F.coalesce(holding(whole), rest)
 
-    body = F.coalesce(_parsed(t), _parsed(_braced(t)))
-    inner = F.try_variant_get(F.try_parse_json(body), "$", "map<string,variant>")
-    nested = F.filter(F.transform(F.map_values(inner), lambda v: F.to_json(v)), lambda s: s.startswith("{") & s.contains('"relevance"'))
-    return F.coalesce(holding(t), holding(_braced(t)), holding(F.try_element_at(nested, F.lit(1))))
+    return _let(pair(t), read)
 
 
 def annotation_reply(reply: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from figloom.schemas import DIMENSIONS
@@ -17,18 +17,23 @@ def score_labels(relevance: Column, threshold: float = 7, dims: Sequence[str] =
     )
 
 
+def _by_set(results: DataFrame) -> DataFrame:
+    """(labels, n, _total) of each distinct label array, null and empty ones included: few rows, so the total is summed
+    over them and the results are read once."""
+    sets = results.groupBy("labels").agg(F.count("*").alias("n"))
+    return sets.withColumn("_total", F.sum("n").over(Window.partitionBy()))
+
+
 def label_counts(results: DataFrame) -> DataFrame:
     """(label, n, share): per cent of all results, those without labels included."""
-    total = results.agg(F.count("*")).scalar()
-    n = results.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
-    return n.select("label", "n", _share(total).alias("share"))
+    n = _by_set(results).select(F.explode("labels").alias("label"), "n", "_total").groupBy("label").agg(F.sum("n").alias("n"), F.max("_total").alias("_total"))
+    return n.select("label", "n", _share(F.col("_total")).alias("share"))
 
 
 def combination_counts(results: DataFrame, top: int | None = 10) -> DataFrame:
     """(combination, n, share) of the label sets that are not empty, most frequent first, names breaking ties."""
-    total = results.agg(F.count("*")).scalar()
-    named = results.where(F.size("labels") > 0).select(F.array_join(F.array_sort("labels"), " + ").alias("combination"))
-    n = named.groupBy("combination").agg(F.count("*").alias("n")).select("combination", "n", _share(total).alias("share"))
+    named = _by_set(results).where(F.size("labels") > 0).select(F.array_join(F.array_sort("labels"), " + ").alias("combination"), "n", "_total")
+    n = named.groupBy("combination").agg(F.sum("n").alias("n"), F.max("_total").alias("_total")).select("combination", "n", _share(F.col("_total")).alias("share"))
     return n if top is None else n.orderBy(F.desc("n"), "combination").limit(top)
 
 

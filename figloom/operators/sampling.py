@@ -31,14 +31,22 @@ def quota(rows: DataFrame, by: Sequence[str], key: str, n: int, seed: str = "")
     return thin.withColumn("_r", F.row_number().over(outer)).where(F.col("_r") <= n).drop("_h", "_b", "_r")
 
 
+BUCKET_DIGITS = 4
+
+
 def deal(rows: DataFrame, key: str, hands: int, total: int | None = None, seed: str = "") -> DataFrame:
     """Column ``hand`` from 1: rows dealt evenly to raters in hash order, ``total`` of them at most.
 
-    A sample for human raters is small by nature; it is cut to ``total`` in buckets before it is numbered.
+    Rows are numbered in buckets of the first digits of the hash, from the counts of the buckets before: at most
+    16 ** BUCKET_DIGITS counts meet in one task, whatever the rows.
     """
     picked = quota(rows.withColumn("_g", F.lit(1)), ["_g"], key, total, seed).drop("_g") if total is not None else rows
-    w = Window.orderBy(hash_order(F.col(key), seed), key)
-    return picked.withColumn("hand", (F.pmod(F.row_number().over(w) - 1, F.lit(hands)) + 1).cast("int"))
+    hashed = picked.withColumn("_h", hash_order(F.col(key), seed)).withColumn("_b", F.coalesce(F.substring("_h", 1, BUCKET_DIGITS), F.lit("")))
+    counts = hashed.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
+    numbered = hashed.withColumn("_r", inside).join(before, "_b")
+    return numbered.select(*picked.columns, (F.pmod(F.col("_before") + F.col("_r") - 1, F.lit(hands)) + 1).cast("int").alias("hand"))
 
 
 def head_split(rows: DataFrame, position: str, n: int = 50) -> DataFrame:

@@ -51,11 +51,9 @@ def accuracy(scored: DataFrame, by: Sequence[str], threshold: float = 0.8, sampl
 def by_mode_and_pooled(scored: DataFrame) -> DataFrame:
     """(category, mode, strict): of each mode and, with mode ``Avg``, of both together, in one pass."""
     rows = scored.select("category", F.coalesce("mode", F.lit("unknown")).alias("mode"), F.col("strict").cast("double").alias("s"))
-    rows.createOrReplaceTempView("_figloom_scored")
-    return rows.sparkSession.sql(
-        "select category, coalesce(mode, 'Avg') as mode, round(100.0D * avg(s), 6) as strict from _figloom_scored "
-        "group by grouping sets ((category, mode), (category))"
-    )
+    sets = rows.groupingSets([["category", "mode"], ["category"]], "category", "mode")
+    mean = F.round(100.0 * F.avg("s"), 6).alias("strict")
+    return sets.agg(mean).select("category", F.coalesce("mode", F.lit("Avg")).alias("mode"), "strict")
 
 
 def final_score(scored: DataFrame, tracks: Sequence[str] = ("EntityStructure", "ScientificLaw", "ScientificProcess", "Text")) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from figloom.functions.text import basename, filled, join_path
@@ -80,13 +80,21 @@ def drop_named(segments: Column, missing: Column) -> Column:
     return F.filter(segments, lambda s: ~F.coalesce(F.array_contains(missing, s["filename"]), F.lit(False)))
 
 
+def _one_of_each(df: DataFrame, key: Sequence[str], order: Sequence[str], pick) -> DataFrame:  # noqa: ANN001
+    """One row of each key by an aggregate that combines on the map side, so a hot key is cut down before any exchange."""
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.distinct()
+    row = pick(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*[F.col(f"`{c}`") for c in order]))
+    one = df.groupBy(*[F.col(f"`{c}`") for c in key]).agg(row.alias("_row"))
+    return one.select(*[F.col(f"`{c}`") if c in key else F.col("_row").getField(c).alias(c) for c in df.columns])
+
+
 def keep_last(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row of each key; null is a key like any other."""
-    w = Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order])
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The last row of each key, nulls ordered first; null is a key like any other."""
+    return _one_of_each(df, key, order, F.max_by)
 
 
 def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key; null is a key like any other."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The first row of each key, nulls ordered first; null is a key like any other."""
+    return _one_of_each(df, key, order, F.min_by)

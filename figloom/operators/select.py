@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from figloom.functions.text import basename, filled
 from figloom.operators.segments import keep_first, keep_last
 from figloom.schemas import TRACKS
+from figloom.session import durable
 
 
 def _items(c: Column) -> Column:
@@ -73,15 +74,28 @@ def candidates(matched: DataFrame, order: Sequence[str]) -> DataFrame:
     })
 
 
+def _quantiles(rows: DataFrame, group: str, value: str, at: Sequence[float]) -> DataFrame:
+    """(group, _q) from the frequencies of the distinct values of each group, kept: a row per group."""
+    freq = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
+    return durable(freq.groupBy(group).agg(F.percentile(value, F.array(*map(F.lit, at)), F.col("_n")).alias("_q")), "quantiles")
+
+
 def iqr_band(rows: DataFrame, group: str, value: str, slack: float = 1.0) -> DataFrame:
-    """Rows whose value lies within the group's quartiles widened by ``slack``; null values are outside."""
-    q = rows.groupBy(group).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    """Rows whose value lies within the group's quartiles widened by ``slack``; null values are outside.
+
+    The quartiles are taken at once, so a band adds to the plan a join with a row per group and not its input again.
+    """
+    q = _quantiles(rows, group, value, (0.25, 0.75))
     v = F.col(value).cast("double")
     return rows.join(q, group).where((v >= F.col("_q")[0] - slack) & (v <= F.col("_q")[1] + slack)).drop("_q")
 
 
-def iqr_chain(rows: DataFrame, group: str = "group_name", values: Sequence[str] = ("term_count", "rendered_len", "retained_len"), slack: float = 1.0) -> DataFrame:
-    """One band after the other, quartiles taken of what the band before left."""
+CHAIN = ("term_count", "rendered_len", "retained_len")
+
+
+def iqr_chain(rows: DataFrame, group: str = "group_name", values: Sequence[str] = CHAIN, slack: float = 1.0) -> DataFrame:
+    """One band after the other, quartiles taken of what the band before left. ``rows`` are kept and made once."""
+    rows = durable(rows, "candidates")
     for v in values:
         rows = iqr_band(rows, group, v, slack)
     return rows
@@ -89,8 +103,8 @@ def iqr_chain(rows: DataFrame, group: str = "group_name", values: Sequence[str]
 
 def median_split(rows: DataFrame, group: str = "group_name", value: str = "term_count") -> DataFrame:
     """Column ``half``: ``prompt`` below the group's median, ``CoT`` at or above it."""
-    m = rows.groupBy(group).agg(F.median(value).alias("_m"))
-    return rows.join(m, group).withColumn("half", F.when(F.col(value) < F.col("_m"), "prompt").otherwise("CoT")).drop("_m")
+    m = _quantiles(rows, group, value, (0.5,))
+    return rows.join(m, group).withColumn("half", F.when(F.col(value) < F.col("_q")[0], "prompt").otherwise("CoT")).drop("_q")
 
 
 def more_terms(rows: DataFrame, least: int = 3) -> DataFrame:
@@ -98,13 +112,22 @@ def more_terms(rows: DataFrame, least: int = 3) -> DataFrame:
     return rows.where(F.col("term_count") > least)
 
 
-def stage_counts(rows: DataFrame, group: str = "group_name") -> DataFrame:
-    """(stage, group, n): rows before the bands and after each."""
-    out = rows.groupBy(group).agg(F.count("*").alias("n")).select(F.lit(0).alias("stage"), group, "n")
-    for i, v in enumerate(("term_count", "rendered_len", "retained_len"), 1):
-        rows = iqr_band(rows, group, v)
-        out = out.unionByName(rows.groupBy(group).agg(F.count("*").alias("n")).select(F.lit(i).alias("stage"), group, "n"))
-    return out
+def stage_counts(rows: DataFrame, group: str = "group_name", values: Sequence[str] = CHAIN) -> DataFrame:
+    """(stage, group, n): rows before the bands and after each; a row is counted at every stage it reaches, in one pass."""
+    rows = durable(rows.select(group, *values), "candidates")
+    kept, reached = rows, []
+    for v in values:
+        q = _quantiles(kept, group, v, (0.25, 0.75))
+        reached.append(q.withColumnRenamed("_q", f"_q_{v}"))
+        kept = kept.join(q, group).where((F.col(v) >= F.col("_q")[0] - 1) & (F.col(v) <= F.col("_q")[1] + 1)).drop("_q")
+    stages = [F.lit(0)]
+    inside = F.lit(True)
+    for i, (v, q) in enumerate(zip(values, reached), 1):
+        rows = rows.join(q, group, "left")
+        inside = inside & F.coalesce((F.col(v) >= F.col(f"_q_{v}")[0] - 1) & (F.col(v) <= F.col(f"_q_{v}")[1] + 1), F.lit(False))
+        stages.append(F.when(inside, F.lit(i)))
+    each = rows.select(group, F.explode(F.filter(F.array(*stages), lambda x: x.isNotNull())).alias("stage"))
+    return each.groupBy("stage", group).agg(F.count("*").alias("n")).select("stage", group, "n")
 
 
 def present(rows: DataFrame, listing: DataFrame, name: str = "image_filename") -> DataFrame:

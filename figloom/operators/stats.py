@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from figloom.session import durable
+
 
 def pearson(rows: DataFrame, x: str, y: str) -> DataFrame:
     """(n, r); r is null where a side is constant."""
@@ -18,10 +20,17 @@ def pearson(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def _mean_ranks(rows: DataFrame, c: str) -> DataFrame:
-    """(value, rank): mean rank of each distinct value, from compact frequencies."""
+    """(value, rank): mean rank of each distinct value.
+
+    Distinct values are range-partitioned and kept; a running sum inside each part and the sums of the parts before it
+    give the rank, so no task sees more than its part, also where every value is distinct.
+    """
     freq = rows.groupBy(F.col(c).alias(c)).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
-    return freq.select(c, (before + (F.col("_n") + 1) / 2.0).alias(f"_rank_{c}"))
+    parts = durable(freq.repartitionByRange(F.col(c)).withColumn("_p", F.spark_partition_id()), "ranks")
+    sums = parts.groupBy("_p").agg(F.sum("_n").alias("_s"))  # a row per part
+    offsets = sums.select("_p", (F.sum("_s").over(Window.orderBy("_p")) - F.col("_s")).alias("_before"))
+    inside = F.sum("_n").over(Window.partitionBy("_p").orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    return parts.withColumn("_inside", inside).join(offsets, "_p").select(c, (F.col("_before") + F.col("_inside") + (F.col("_n") + 1) / 2.0).alias(f"_rank_{c}"))
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -72,10 +81,19 @@ def _kendall_b(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float | None:
     return score / math.sqrt(base) if base > 0 else None
 
 
-def kendall(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """(n, tau): tau-b. Equal pairs are counted first; ratings and rates take few values, so few pairs are swept."""
+#: Distinct pairs that Kendall's sweep takes in one task, at most.
+MOST_PAIRS = 2_000_000
+
+
+def kendall(rows: DataFrame, x: str, y: str, most_pairs: int = MOST_PAIRS) -> DataFrame:
+    """(n, tau): tau-b. Equal pairs are counted first; ratings and rates take few values, so few pairs are swept.
+
+    More than ``most_pairs`` distinct pairs are an error and not a sample: round continuous values before.
+    """
     both = rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
-    compact = both.groupBy("x", "y").agg(F.count("*").alias("c")).withColumn("one", F.lit(1))
+    compact = durable(both.groupBy("x", "y").agg(F.count("*").alias("c")).withColumn("one", F.lit(1)), "pairs")
+    if (found := compact.count()) > most_pairs:
+        raise ValueError(f"{found} distinct pairs are more than {most_pairs}; round the values")
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         tau = _kendall_b(p["x"].to_numpy(), p["y"].to_numpy(), p["c"].to_numpy())
@@ -138,8 +156,8 @@ def length_stats(rows: DataFrame, group: str, long: str, short: str, population:
 
 def shares(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, n, share) in per cent of all rows."""
-    total = rows.agg(F.count("*")).scalar()
-    return rows.groupBy(*by).agg(F.count("*").alias("n")).select(*by, "n", F.round(100.0 * F.col("n") / total, 6).alias("share"))
+    counted = rows.groupBy(*by).agg(F.count("*").alias("n"))  # compact, so its sum is taken over it
+    return counted.select(*by, "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"))
 
 
 def false_positive_gate(reviews: DataFrame, batch: str, flag: str, gate: float = 0.05) -> DataFrame:
