@@ -26,11 +26,12 @@ def attach_segments(articles: DataFrame, arrays: DataFrame, key: str) -> DataFra
     return bare.withColumn("segments", F.coalesce("segments", F.array().cast(kind)))
 
 
-def explode_tasks(articles: DataFrame, image_dir: str | None = None) -> DataFrame:
+def explode_tasks(articles: DataFrame, image_dir: str | None = None, row_key: str | None = None) -> DataFrame:
     """One task per segment: the columns of ``articles`` but ``segments``, and place, filename, labels, path, task_key.
 
     Without segments an article stands for its own image (``local_path``, else ``image_path``) with no labels;
-    with neither it is dropped. Null elements give no task and keep their place.
+    with neither it is dropped. Null elements give no task and keep their place. The key of a task is its path, else its
+    file name, else, with ``row_key``, ``<row>#<place>``.
     """
     own = F.coalesce(filled(F.col("local_path")), filled(F.col("image_path")))
     fallback = F.when(
@@ -48,7 +49,13 @@ def explode_tasks(articles: DataFrame, image_dir: str | None = None) -> DataFram
     name = F.coalesce(filled(F.col("seg.filename")), filled(basename(F.col("seg.path"))))
     path = F.col("seg.path") if image_dir is None else F.coalesce(join_path(image_dir, name), F.col("seg.path"))
     rows = rows.withColumns({"filename": name, "labels": F.col("seg.labels"), "path": path}).drop("seg")
-    return rows.withColumn("task_key", F.coalesce(filled(F.col("path")), filled(F.col("filename"))))
+    last = [F.concat(F.col(row_key).cast("string"), F.lit("#"), F.col("place").cast("string"))] if row_key else []
+    return rows.withColumn("task_key", F.coalesce(filled(F.col("path")), filled(F.col("filename")), *last))
+
+
+def per_label(tasks: DataFrame) -> DataFrame:
+    """A task per label it carries (column ``label``), for pipelines that serve one track; repeats count once."""
+    return tasks.select("*", F.explode(F.array_distinct("labels")).alias("label")).where("label is not null")
 
 
 def explode_for_matching(articles: DataFrame) -> DataFrame:

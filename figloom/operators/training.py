@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from figloom.functions.text import fit_size, join_path
+from figloom.operators.sampling import repeat
+
 MAX_TOKENS = 2048
 IGNORED = -100
 
@@ -60,3 +63,11 @@ def without_benchmark(rows: DataFrame, benchmark: DataFrame, key: str) -> DataFr
 def image_list(image: Column) -> Column:
     """One path or a JSON list of paths as an array."""
     return F.when(image.startswith("["), F.from_json(image, "array<string>")).otherwise(F.array(image))
+
+
+def export(rows: DataFrame, base: str, file_key: str, width: str, height: str, times: int = 1, max_pixels: int = 1_048_576) -> DataFrame:
+    """The unified training dataset: ``file_key`` under the base path, ``width`` and ``height`` fitted to ``max_pixels`` and
+    divisible by 16, every row ``times`` times with its number in ``repeat``."""
+    size = fit_size(F.col(width), F.col(height), max_pixels)
+    sized = rows.withColumns({file_key: join_path(base, F.col(file_key)), "_size": size}).drop(*{width, height} - {"width", "height"})
+    return repeat(sized.withColumns({"width": F.col("_size.width"), "height": F.col("_size.height")}).drop("_size"), times)

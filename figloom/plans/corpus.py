@@ -35,7 +35,7 @@ def segments_for_matching(spark: SparkSession, d: str) -> DataFrame:
 
 def replace_segment_labels(spark: SparkSession, d: str) -> DataFrame:
     meta = table(spark, d, "metadata").select("row_id", "segments")
-    results = table(spark, d, "captions").where("row_id % 2 = 0").select(
+    results = table(spark, d, "captions").select(
         F.element_at(F.split("image_path", "/"), -1).alias("filename"), F.array(F.lit("Set")).alias("labels")
     ).distinct()
     rows = segments.explode_for_matching(segments.replace_labels(meta, results, "row_id"))
@@ -207,7 +207,7 @@ v as (select row_id, place, filename, coalesce('{IMAGE_DIR}/' || filename, path)
 select row_id, place, filename, path, coalesce(nullif(path, ''), nullif(filename, '')) as task_key from v""",
     "segments_for_matching": f"with {_SEG} select row_id, cast(i - 1 as integer) as place, segments[i].filename as filename, segments[i].path as path from s where segments[i] is not null",
     "replace_segment_labels": f"""
-with {_SEG}, r as (select distinct string_split(image_path, '/')[-1] as filename from captions where row_id % 2 = 0 and image_path is not null)
+with {_SEG}, r as (select distinct string_split(image_path, '/')[-1] as filename from captions where image_path is not null)
 select row_id, cast(i - 1 as integer) as place, coalesce(case when r.filename is not null then 'Set' else array_to_string(segments[i].labels, '+') end, 'null') as labels
 from s left join r on segments[i].filename = r.filename where segments[i] is not null""",
     "set_nested_constant": f"with {_SEG} select row_id, cast(i - 1 as integer) as place, segments[i].filename as filename, 1024 as width, 1024 as height from s where segments[i] is not null",

@@ -5,13 +5,15 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from figloom.functions import jsonclean
-from figloom.functions.text import basename, fit_size
+from figloom.functions.text import basename, data_url, fit_size
 from figloom.operators import checklist, images, models, relevance, resume, sampling, segments, training
-from figloom.session import durable, shared_dir, table
+from figloom.session import durable, run_folder, table
+from figloom.sources import files
 from figloom.streaming import resume as stream
 
 
@@ -27,7 +29,7 @@ def sft_mask_truncate(spark: SparkSession, d: str) -> DataFrame:
     rows = _sft(spark, d).where("output is not null").select(
         "sft_id", training.word_ids(training.chat_prompt(F.col("instruction"), F.col("input"))).alias("p"), training.word_ids(F.col("output")).alias("a")
     )
-    m = training.masked(rows, "p", "a", most=100)
+    m = training.masked(rows, "p", "a")
     return m.select(
         "sft_id", F.size("input_ids").cast("bigint").alias("n"), F.aggregate("attention_mask", F.lit(0), lambda x, y: x + y).cast("bigint").alias("attended"),
         F.size(F.filter("labels", lambda x: x != training.IGNORED)).cast("bigint").alias("with_loss"), F.aggregate("input_ids", F.lit(0), lambda x, y: x + y).cast("bigint").alias("id_sum"),
@@ -82,13 +84,98 @@ def checklist_stub(spark: SparkSession, d: str) -> DataFrame:
     return durable(models.checklists(asked, models.StubClient), "checklists").select("key", x["error"].alias("error"), x["json"].alias("checklist"))
 
 
-def judge_stub(spark: SparkSession, d: str) -> DataFrame:
+def _judge_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of the judge with the checklist of their sub-figure, where it has one."""
     items = table(spark, d, "evaluation_results").select("row_id", "image_filename", "mode")
-    prompts = table(spark, d, "captions").select(
-        F.col("row_id").alias("pos"), basename(F.col("image_path")).alias("image_filename"), F.col("`sci-RCoT`").alias("long"), F.col("science_abstract_prompt").alias("short")
-    )
+    capt = table(spark, d, "captions").withColumn("name", basename(F.col("image_path")))
+    prompts = capt.select(F.col("row_id").alias("pos"), F.col("name").alias("image_filename"), F.col("`sci-RCoT`").alias("long"), F.col("science_abstract_prompt").alias("short"))
     asked = checklist.judge_requests(items, prompts, table(spark, d, "candidates").select(F.col("image_filename").alias("name")), "pos")
-    return models.judge(asked.select(F.col("row_id").cast("string").alias("key"), F.col("prompt").alias("text"), "error"), models.StubClient, models.Retry(1))
+    last = segments.keep_last(capt.where("name <> ''").select("row_id", "name"), ["name"], ["row_id"])
+    lists = checklist_stub(spark, d).join(last.select(F.col("row_id").cast("string").alias("key"), F.col("name").alias("image_filename")), "key").select("image_filename", "checklist")
+    return asked.join(lists, "image_filename", "left").select(F.col("row_id").cast("string").alias("key"), F.col("prompt").alias("text"), "error", "checklist")
+
+
+def judge_stub(spark: SparkSession, d: str) -> DataFrame:
+    return models.judge(_judge_requests(spark, d), models.StubClient, models.Retry(1))
+
+
+class _Strict(models.StubClient):
+    def complete(self, system: str, user: str, image: bytes | None = None, temperature: float = 0.1) -> str:
+        return super().complete(system, "strict " + user, image, temperature)
+
+
+def judge_sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    """Share of Yes by judge and category, the same requests to each."""
+    got = models.judge_by_each(_judge_requests(spark, d), {"plain": models.StubClient, "strict": _Strict}, models.Retry(1)).where("error is null")
+    v = F.from_json("verdicts", "evaluation_results array<struct<category string, answer string>>")["evaluation_results"]
+    each = got.select("judge", F.explode(v).alias("v"))
+    return each.groupBy("judge", "v.category").agg(F.count("*").alias("n"), F.round(F.avg((F.col("v.answer") == "Yes").cast("double")), 6).alias("yes"))
+
+
+def keep_stub(spark: SparkSession, d: str) -> DataFrame:
+    got = models.decide(_tasks(spark, d), models.StubClient, models.Retry(1))
+    return got.select("key", jsonclean.keep_decision(F.col("reply")).alias("decision"), "error")
+
+
+def generate_stub(spark: SparkSession, d: str) -> DataFrame:
+    """The planner's text and an image of it for every prompt; prompts missing are errors of their rows."""
+    asked = table(spark, d, "captions").select(F.col("row_id").cast("string").alias("key"), F.coalesce("science_abstract_prompt", F.lit("")).alias("text"))
+    return models.generate(asked, models.StubClient, models.StubClient).select("key", "long", F.length("image").cast("bigint").alias("bytes"), "error")
+
+
+def tasks_per_label(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "metadata").select("row_id", "segments", "local_path", "image_path")
+    return segments.per_label(segments.explode_tasks(rows).select("row_id", "place", "labels")).select("row_id", "place", "label")
+
+
+def task_keys(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "metadata").select("row_id", "segments", "local_path", "image_path")
+    return segments.explode_tasks(rows, row_key="row_id").select("row_id", "place", "task_key")
+
+
+def append_outputs(spark: SparkSession, d: str) -> DataFrame:
+    names = lambda t: table(spark, d, t).select(F.col("image_filename").alias("key"))
+    return resume.append_outputs(names("evaluation_results"), names("candidates"))
+
+
+def preview_first(spark: SparkSession, d: str) -> DataFrame:
+    return files.preview(table(spark, d, "captions").select("row_id", "science_abstract_prompt"), "row_id")
+
+
+def source_json(spark: SparkSession, d: str) -> DataFrame:
+    """Verdict rows written as JSON lines by mode and read back with their declared types."""
+    root = f"{run_folder(spark)}/json-{uuid.uuid4().hex}"
+    files.write_json(table(spark, d, "evaluation_results").select("row_id", "image_filename", "error", F.coalesce("mode", F.lit("none")).alias("mode")), root, ("mode",))
+    return files.read_json_lines(spark, root, "row_id long, image_filename string, error string, mode string")
+
+
+def source_version(spark: SparkSession, d: str) -> DataFrame:
+    """Two versions published one after the other; the reader sees the second."""
+    root = f"{run_folder(spark)}/versions-{uuid.uuid4().hex}"
+    rows = table(spark, d, "captions").select("row_id", "batch")
+    for part in (rows.where("batch is null"), rows):
+        files.publish(spark, root, files.write_version(part, root))
+    return files.read_current(spark, root)
+
+
+def data_urls(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as data URLs; the digest stands for the URL."""
+    rows = table(spark, d, "captions").where("image_path is not null and science_abstract_prompt is not null")
+    return rows.select("row_id", F.md5(data_url(F.col("science_abstract_prompt").cast("binary"), F.col("image_path"))).alias("url"))
+
+
+def training_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """The unified export: base path and file, prompt, size divisible by 16, every row twice."""
+    rows = table(spark, d, "metadata").select("row_id", "segments")
+    flat = segments.explode_for_matching(rows).where("segment.width > 0 and segment.height > 0 and segment.filename <> ''")
+    sized = flat.select("row_id", "place", F.col("segment.filename").alias("image"), F.col("segment.width").alias("w"), F.col("segment.height").alias("h"))
+    return training.export(sized, "/data/base", "image", "w", "h", times=2).select("row_id", "place", "image", "width", "height", "repeat")
+
+
+def image_lists(spark: SparkSession, d: str) -> DataFrame:
+    """One path stays one, a JSON list of paths becomes its members."""
+    listed = F.when(F.col("row_id") % 2 == 0, F.col("image_path")).otherwise(F.to_json(F.array("image_path", F.lit("mask.png"))))
+    return table(spark, d, "captions").where("image_path is not null").select("row_id", F.explode(training.image_list(listed)).alias("image"))
 
 
 _ANNOTATED = "key string, reasoning string, sci_rcot string, rendered array<string>, prompt string, retained array<string>, error string"
@@ -97,7 +184,7 @@ _ANNOTATED = "key string, reasoning string, sci_rcot string, rendered array<stri
 def resume_twice(spark: SparkSession, d: str) -> DataFrame:
     """A run over even rows, then over all: the second calls the model for the rest only."""
     tasks = _tasks(spark, d).dropDuplicates(["key"])
-    path = f"{shared_dir(spark)}/figloom/annotations-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/annotations-{uuid.uuid4().hex}"
     stage = lambda t: models.annotate(t, models.StubClient, models.Retry(1))
     resume.run_once(tasks.where(F.crc32("key") % 2 == 0), path, stage, _ANNOTATED)
     return resume.run_once(tasks, path, stage, _ANNOTATED, flush=100).select("key", "prompt")
@@ -110,7 +197,7 @@ def run_counters(spark: SparkSession, d: str) -> DataFrame:
 
 def streaming_resume(spark: SparkSession, d: str) -> DataFrame:
     """Two files arrive one after the other; the second call reads the second only."""
-    root = f"{shared_dir(spark)}/figloom/stream-{uuid.uuid4().hex}"
+    root = f"{run_folder(spark)}/stream-{uuid.uuid4().hex}"
     tasks = _tasks(spark, d).dropDuplicates(["key"]).select("key")
     for part in (0, 1):
         tasks.where(F.crc32("key") % 2 == part).coalesce(1).write.mode("append").parquet(f"{root}/in")
@@ -118,32 +205,68 @@ def streaming_resume(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out").select("key", "epoch")
 
 
-def _pngs(spark: SparkSession, d: str) -> DataFrame:
-    """Small generated pages, named and sized after the segments."""
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """Generated pages of the size each segment declares, named by row and place."""
     rows = segments.explode_for_matching(table(spark, d, "metadata").select("row_id", "segments")).where("segment.width > 0 and segment.height > 0")
-    rows = rows.select(F.col("segment.filename").alias("name"), (F.col("segment.width") / 32).cast("int").alias("w"), (F.col("segment.height") / 32).cast("int").alias("h")).where("name is not null")
+    rows = rows.select(F.concat(F.col("row_id").cast("string"), F.lit("_"), F.col("place").cast("string"), F.lit(".png")).alias("name"), F.col("segment.width").alias("w"), F.col("segment.height").alias("h"))
 
-    @F.udf("binary")
-    def draw(w, h):  # noqa: ANN001, ANN202
-        y, x = np.mgrid[0 : max(h, 1), 0 : max(w, 1)]
-        return images.encode_png(np.dstack([x * 7 % 256, y * 5 % 256, (x + y) % 256]).astype(np.uint8))
+    @F.pandas_udf("binary")
+    def draw(w: pd.Series, h: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(w, h):
+            y, x = np.mgrid[0:b, 0:a].astype(np.uint16)
+            out.append(images.encode_png(np.dstack([x * 7 % 256, y * 5 % 256, (x + y) % 256]).astype(np.uint8)))
+        return pd.Series(out)
 
-    return rows.select("name", draw("w", "h").alias("content"))
+    # few bytes that take much work: spread by row, as the table's files are few
+    return rows.repartition(4 * spark.sparkContext.defaultParallelism, "name").select("name", draw("w", "h").alias("content"))
 
 
 def pad_color(spark: SparkSession, d: str) -> DataFrame:
-    return images.pad_colours(_pngs(spark, d))
+    return images.pad_colours(_pages(spark, d))
 
 
 def standardise_image(spark: SparkSession, d: str) -> DataFrame:
-    return images.standardised(_pngs(spark, d), 64).select("name", F.length("content").alias("bytes"), "error")
+    """Size of every standardised page and, where it is padded, the colour of its first pixel."""
+    done = images.standardised(_pages(spark, d))
+
+    @F.pandas_udf("array<int>")
+    def corner(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: None if c is None else images.decode_png(c)[0, 0].astype(int).tolist())
+
+    sizes = images.png_size(F.col("content"))
+    return done.select("name", sizes["width"].alias("width"), sizes["height"].alias("height"), corner("content").alias("corner"), "error")
+
+
+def image_sizes(spark: SparkSession, d: str) -> DataFrame:
+    size = images.png_size(F.col("content"))
+    return _pages(spark, d).select("name", size["width"].alias("width"), size["height"].alias("height"))
+
+
+def _halves():  # noqa: ANN202
+    """A detector that sees the upper left quarter of every image."""
+    return lambda pages: [[("Picture", 0.9, 0.0, 0.0, float(p.shape[1] // 2), float(p.shape[0] // 2))] for p in pages]
+
+
+def detect_stub(spark: SparkSession, d: str) -> DataFrame:
+    return images.detect(_pages(spark, d).withColumnRenamed("name", "image_id"), _halves)
+
+
+def pixel_crop(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the quarters cut out of the pages."""
+    pages = durable(_pages(spark, d).withColumnRenamed("name", "image_id"), "pages")
+    size = images.png_size(F.col("content"))
+    box = lambda c: F.floor(size[c] / 2).cast("int")
+    boxes = pages.select("image_id", F.concat(F.lit("part_"), "image_id").alias("filename"), F.lit(0).alias("x1"), F.lit(0).alias("y1"), box("width").alias("x2"), box("height").alias("y2"))
+    return images.cropped(pages, boxes).select("name", size["width"].alias("width"), size["height"].alias("height"), "error")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         sft_format, sft_mask_truncate, generated_suffix, train_test_split, train_export_without_benchmark, size_constraint, classify_stub, annotate_stub,
-        checklist_stub, judge_stub, resume_twice, run_counters, streaming_resume, pad_color, standardise_image,
+        checklist_stub, judge_stub, judge_sensitivity, keep_stub, generate_stub, tasks_per_label, task_keys, append_outputs, preview_first, source_json, source_version,
+        data_urls, training_dataset, image_lists, resume_twice, run_counters, streaming_resume, pad_color, standardise_image, image_sizes, detect_stub, pixel_crop,
     )
 }
 
@@ -159,7 +282,7 @@ ORACLE = {
     "sft_format": f"with {_S} select sft_id, md5({_CHAT}) as prompt from s",
     "sft_mask_truncate": f"""
 with {_S}, t as (select sft_id, {_ids(_CHAT)} as p, {_ids('output')} as a from s where output is not null),
-m as (select sft_id, list_concat(list_concat(p, a), [0])[1:100] as ids, greatest(0, least(100, len(p) + len(a) + 1) - len(p)) as with_loss from t)
+m as (select sft_id, list_concat(list_concat(p, a), [0])[1:2048] as ids, greatest(0, least(2048, len(p) + len(a) + 1) - len(p)) as with_loss from t)
 select sft_id, len(ids) as n, len(ids) as attended, cast(with_loss as bigint) as with_loss, cast(list_sum(ids) as bigint) as id_sum from m""",
     "generated_suffix": f"with {_S} select sft_id, greatest(len({_ids('output')}) - len({_ids('input')}), 0) as n from s where output is not null and input is not null",
     "train_test_split": "select row_id - 1 as position, case when row_id - 1 < 50 then 'test' else 'train' end as part from captions",
@@ -174,4 +297,50 @@ select row_id, place, cast(floor(w * k / 16) * 16 as integer) as width, cast(flo
     "run_counters": """
 with c as (select distinct image_filename as k from evaluation_results where image_filename is not null)
 select count(*) as total, count(c.k) as cached, count(*) - count(c.k) as pending from candidates left join c on image_filename = c.k""",
+    "append_outputs": "select image_filename as key from evaluation_results union all select image_filename from candidates",
+    "preview_first": "select row_id, science_abstract_prompt from captions order by row_id limit 3",
+    "source_json": "select row_id, image_filename, error, coalesce(mode, 'none') as mode from evaluation_results",
+    "source_version": "select row_id, batch from captions",
+    "data_urls": """
+select row_id, md5('data:' || case when lower(image_path) like '%.jpg' or lower(image_path) like '%.jpeg' then 'image/jpeg' when lower(image_path) like '%.gif' then 'image/gif'
+  when lower(image_path) like '%.webp' then 'image/webp' when lower(image_path) like '%.bmp' then 'image/bmp' when lower(image_path) like '%.tif' or lower(image_path) like '%.tiff' then 'image/tiff'
+  else 'image/png' end || ';base64,' || to_base64(encode(science_abstract_prompt))) as url from captions where image_path is not null and science_abstract_prompt is not null""",
+    "image_lists": """
+select row_id, image_path as image from captions where image_path is not null
+union all select row_id, 'mask.png' from captions where image_path is not null and row_id % 2 = 1""",
+    "training_dataset": """
+with s0 as (select row_id, segments, unnest(range(1, len(segments) + 1)) as i from metadata where segments is not null),
+s as (select row_id, cast(i - 1 as integer) as place, segments[i].filename as f, segments[i].width as w, segments[i].height as h from s0
+  where segments[i].width > 0 and segments[i].height > 0 and segments[i].filename <> ''),
+k as (select *, least(1.0::double, sqrt(1048576.0::double / (w * h))) as k from s)
+select row_id, place, '/data/base/' || f as image, cast(floor(w * k / 16) * 16 as integer) as width, cast(floor(h * k / 16) * 16 as integer) as height, cast(unnest([0, 1]) as integer) as repeat from k""",
+    "task_keys": """
+with m as (select row_id, coalesce(nullif(local_path, ''), nullif(image_path, '')) as own, segments from metadata),
+l as (select row_id, unnest(range(len(segments))) as i, segments from m where len(segments) > 0),
+t as (select row_id, cast(i as integer) as place, segments[i + 1] as s from l where segments[i + 1] is not null),
+b as (select row_id, place, coalesce(nullif(s.path, ''), nullif(s.filename, ''), nullif(string_split(s.path, '/')[-1], ''), row_id || '#' || place) as task_key from t)
+select * from b union all select row_id, 0, own from m where coalesce(len(segments), 0) = 0 and own is not null""",
+    "tasks_per_label": """
+with l as (select row_id, unnest(range(len(segments))) as i, segments from metadata where len(segments) > 0)
+select distinct row_id, cast(i as integer) as place, label from (select row_id, i, unnest(segments[i + 1].labels) as label from l) where label is not null""",
+}
+
+_PAGES = """
+with s0 as (select row_id, segments, unnest(range(1, len(segments) + 1)) as i from metadata where segments is not null),
+s as (select row_id || '_' || (i - 1) || '.png' as name, segments[i].width as w, segments[i].height as h from s0 where segments[i].width > 0 and segments[i].height > 0)"""
+_FILL = _PAGES + """,
+n as (select *, floor(w * least(1024.0::double / w, 1024.0::double / h)) as nw, floor(h * least(1024.0::double / w, 1024.0::double / h)) as nh from s),
+u as (select *, nw <> 1024 or nh = 1024 as sides, nh <> 1024 or nw = 1024 as caps from n),
+e as (
+  select name, x * 7 % 256 as r, 0 as g, x % 256 as b from (select name, unnest(range(w)) as x from u where caps)
+  union all select name, x * 7 % 256, (h - 1) * 5 % 256, (x + h - 1) % 256 from (select name, h, unnest(range(w)) as x from u where caps)
+  union all select name, 0, y * 5 % 256, y % 256 from (select name, unnest(range(h)) as y from u where sides)
+  union all select name, (w - 1) * 7 % 256, y * 5 % 256, (y + w - 1) % 256 from (select name, w, unnest(range(h)) as y from u where sides)),
+f as (select name, cast(floor(sum(r)::double / count(*)) as integer) as r, cast(floor(sum(g)::double / count(*)) as integer) as g, cast(floor(sum(b)::double / count(*)) as integer) as b from e group by name)"""
+ORACLE |= {
+    "image_sizes": _PAGES + " select name, w as width, h as height from s",
+    "detect_stub": _PAGES + """
+select name as image_id, w as img_w, h as img_h, 0::integer as det_idx, 'Picture' as cls, 0.9::double as conf, 0.0::double as x1, 0.0::double as y1, (w // 2)::double as x2, (h // 2)::double as y2 from s""",
+    "pixel_crop": _PAGES + " select 'part_' || name as name, w // 2 as width, h // 2 as height, cast(null as varchar) as error from s",
+    "pad_color": _FILL + " select name, r, g, b, cast(null as varchar) as error from f",
 }

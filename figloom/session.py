@@ -101,7 +101,7 @@ def forget(spark: SparkSession) -> None:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def durable(df: DataFrame, name: str = "table") -> DataFrame:
+def durable(df: DataFrame, name: str = "table", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: the lineage ends here.
 
     A later loss of an executor re-reads the files instead of recomputing the plan (or calling a model again). The
@@ -112,7 +112,7 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
