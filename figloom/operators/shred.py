@@ -276,9 +276,7 @@ def read_segments(raw: str | None) -> list | None:
     """
     v: object = raw
     try:
-        for _ in range(8):
-            if not isinstance(v, str):
-                break
+        while isinstance(v, str):  # what a quoting holds is shorter than the quoting, so this ends
             v = json.loads(v)
     except (ValueError, RecursionError):
         return None

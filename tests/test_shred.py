@@ -1,10 +1,15 @@
 import json
+import os
 
+import duckdb
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from figloom.operators import shred
+from figloom.plans import shredding
+from tests.test_queries import D
 
 NESTED = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.list_(pa.string())), ("m", pa.map_(pa.string(), pa.list_(pa.int32())))]))
 row = st.none() | st.lists(st.none() | st.fixed_dictionaries({"a": st.none() | st.integers(0, 9), "b": st.none() | st.lists(st.none() | st.text("xy", max_size=2), max_size=3), "m": st.none() | st.lists(st.tuples(st.text("kl", min_size=1, max_size=2), st.none() | st.lists(st.none() | st.integers(0, 5), max_size=2)), max_size=2, unique_by=lambda x: x[0])}), max_size=3)
@@ -62,3 +67,19 @@ def test_empty_table_and_clashing_columns(spark):
     assert all(x.count() == 0 for x in shred.flat_tables(df, "row_id", "segments").values())
     one = spark.createDataFrame([(7, [("f", 1, 2, ["x"], "p")], "mine", 3)], df.schema)
     assert sorted(r["node"] for r in shred.nodes(one, "row_id", "segments").collect()) == ["segments/0", "segments/0/labels/0"]
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test data")
+def test_flat_segments_equal_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view metadata as select * from '{D}/metadata.parquet'")
+    names = ["row_id", "segments_place", "is_null", "filename", "width", "height", "path"]
+    got = sorted(map(repr, map(tuple, shredding.p4_segments(spark, D).select(names).collect())))
+    assert got == sorted(map(repr, con.execute(f"select {', '.join(names)} from ({shredding.SEGMENTS_SQL})").fetchall()))
+
+
+def test_any_number_of_quotings():
+    text = '[{"filename": "a.png", "labels": "x"}]'
+    for _ in range(12):
+        text = json.dumps(text)
+    assert shred.read_segments(text)[0]["labels"] == ["x"] and shred.read_segments(text[:-1]) is None and shred.read_segments('"plain"') is None
