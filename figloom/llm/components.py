@@ -58,15 +58,12 @@ def connected(edges: DataFrame) -> DataFrame:
     edges = durable(
         edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges"
     )
-    labels = None
+    rounds = []
     while not edges.isEmpty():
         both = edges.select(F.col("u").alias("node"), F.col("v").alias("to")).unionByName(
             edges.select(F.col("v").alias("node"), F.col("u").alias("to"))
         )
-        parent = durable(
-            both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("component")),
-            "parent",
-        )
+        parent = durable(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("component")), "parent")
         moving = True
         while moving:
             up = parent.select(F.col("node").alias("component"), F.col("component").alias("root"))
@@ -79,19 +76,18 @@ def connected(edges: DataFrame) -> DataFrame:
             moving = not jumped.where("moved").isEmpty()
             release(parent)
             parent = jumped
-        if labels is None:
-            labels = durable(parent.select("node", "component"), "labels")
-        else:
-            step = parent.select(F.col("node").alias("component"), F.col("component").alias("root"))
-            merged = durable(labels.join(step, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
-            release(labels)
-            labels = merged
+        rounds.append(parent.select("node", "component"))
         left = durable(_contract(edges, parent), "edges")
         release(edges)
-        release(parent)
         edges = left
     release(edges)
-    return spark.createDataFrame([], NODES) if labels is None else labels
+    if not rounds:
+        return spark.createDataFrame([], NODES)
+    labels = rounds[0]
+    for later in rounds[1:]:  # the roots of a round are the nodes of the next one: a few tables, each smaller
+        step = later.select(F.col("node").alias("component"), F.col("component").alias("root"))
+        labels = labels.join(step, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return labels
 
 
 def key_links(records: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -128,7 +124,10 @@ def components(records: DataFrame, keys: Sequence[str], known: DataFrame | None
             least.join(known, "node").where("least <> component")
             .select(F.col("least").alias("u"), F.col("component").alias("v"))
         )
-    roots = connected(edges).select(F.col("node").alias("least"), F.col("component").alias("root"))
+    roots = connected(edges)
+    if known is not None:
+        roots = durable(roots, "roots")
+    roots = roots.select(F.col("node").alias("least"), F.col("component").alias("root"))
     fresh = least.join(roots, "least", "left").select("node", F.coalesce("root", "least").alias("component"))
     if known is None:
         return fresh
