@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,26 @@ def prompt_of(mode: Column, long: Column, short: Column, strict: bool = False) -
     return F.when(mode == "abstract", short).when(mode == "cot", long).otherwise(other)
 
 
+def json_text(value: Column, ascii_only: bool = False) -> Column:
+    """JSON of a nested value with null fields kept; with ``ascii_only`` other signs are escaped as requests of checklists
+    and verdicts write them."""
+    text = F.to_json(value, {"ignoreNullFields": "false"})
+    if not ascii_only:
+        return text
+    units = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int"))), lambda i: F.hex(F.substring(F.encode(text, "UTF-16BE"), (2 * i - 1).cast("int"), F.lit(2))))
+    escaped = F.array_join(F.transform(units, lambda u: F.when(F.conv(u, 16, 10).cast("int") > 126, F.concat(F.lit("\\u"), F.lower(u))).otherwise(F.char(F.conv(u, 16, 10).cast("int")))), "")
+    return F.when(text.rlike(r"[^\x00-\x7e]"), escaped).otherwise(text)
+
+
+def fill_template(template: str, fields: dict[str, Column]) -> Column:
+    """struct(text, error): ``{name}`` replaced by the field as it is, nothing escaped; a null field is an error that names
+    it, so the row is told apart and not asked about."""
+    parts = [F.lit(x) if i % 2 == 0 else F.coalesce(fields[x].cast("string"), F.lit("")) for i, x in enumerate(re.split(r"\{(\w+)\}", template))]
+    used = list(dict.fromkeys(re.findall(r"\{(\w+)\}", template)))
+    error = F.coalesce(*[F.when(fields[x].isNull(), F.lit(f"missing {x}")) for x in used], F.lit(None).cast("string"))
+    return F.struct(F.when(error.isNull(), F.concat(*parts)).alias("text"), error.alias("error"))
+
+
 def checklist_request(prompt: Column, tracks: Column, reasoning: Column) -> Column:
     return F.concat(
         F.lit("Prompt: "), F.coalesce(prompt, F.lit("")), F.lit("\nTracks: "), tracks_text(tracks), F.lit("\nReasoning: "), F.coalesce(F.to_json(reasoning), F.lit("{}"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from figloom.functions.text import basename
 from figloom.operators import checklist, score, segments, select
 from figloom.session import table
+from figloom.settings import Settings
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +82,7 @@ def stage_counts(spark: SparkSession, d: str) -> DataFrame:
 def select_iqr_split(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: segments matched with captions, de-duplicated, labelled, grouped, banded three times, split."""
     rows = select.candidates(_matched(spark, d), ["article", "place"])
-    done = select.median_split(select.iqr_chain(rows.select("filename", "row_id", "group_name", "term_count", "rendered_len", "retained_len")))
+    done = select.median_split(select.iqr_chain(rows.select("filename", "row_id", "group_name", "term_count", "rendered_len", "retained_len"), slack=Settings.of(spark).iqr_slack))
     return done.select("filename", F.col("row_id").alias("caption"), "group_name", F.col("term_count").cast("bigint").alias("term_count"), "half")
 
 

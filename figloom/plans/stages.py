@@ -13,6 +13,7 @@ from figloom.functions import jsonclean
 from figloom.functions.text import basename, data_url, fit_size
 from figloom.operators import checklist, images, models, relevance, resume, sampling, segments, training
 from figloom.session import durable, run_folder, table
+from figloom.settings import Settings
 from figloom.sources import files
 from figloom.streaming import resume as stream
 
@@ -29,7 +30,7 @@ def sft_mask_truncate(spark: SparkSession, d: str) -> DataFrame:
     rows = _sft(spark, d).where("output is not null").select(
         "sft_id", training.word_ids(training.chat_prompt(F.col("instruction"), F.col("input"))).alias("p"), training.word_ids(F.col("output")).alias("a")
     )
-    m = training.masked(rows, "p", "a")
+    m = training.masked(rows, "p", "a", most=Settings.of(spark).max_tokens)
     return m.select(
         "sft_id", F.size("input_ids").cast("bigint").alias("n"), F.aggregate("attention_mask", F.lit(0), lambda x, y: x + y).cast("bigint").alias("attended"),
         F.size(F.filter("labels", lambda x: x != training.IGNORED)).cast("bigint").alias("with_loss"), F.aggregate("input_ids", F.lit(0), lambda x, y: x + y).cast("bigint").alias("id_sum"),
@@ -73,7 +74,7 @@ def classify_stub(spark: SparkSession, d: str) -> DataFrame:
 
 
 def annotate_stub(spark: SparkSession, d: str) -> DataFrame:
-    return models.annotate(_tasks(spark, d), models.StubClient, models.Retry(1))
+    return models.annotate(_tasks(spark, d), models.StubClient, models.Retry(1), Settings.of(spark).threads)
 
 
 def checklist_stub(spark: SparkSession, d: str) -> DataFrame:
@@ -133,6 +134,11 @@ def task_keys(spark: SparkSession, d: str) -> DataFrame:
     return segments.explode_tasks(rows, row_key="row_id").select("row_id", "place", "task_key")
 
 
+def prompt_templates(spark: SparkSession, d: str) -> DataFrame:
+    x = checklist.fill_template("Title: {title}; caption: {caption}.", {"title": F.col("figure_title"), "caption": F.col("figure_caption")})
+    return table(spark, d, "metadata").select("row_id", x["text"].alias("text"), x["error"].alias("error"))
+
+
 def append_outputs(spark: SparkSession, d: str) -> DataFrame:
     names = lambda t: table(spark, d, t).select(F.col("image_filename").alias("key"))
     return resume.append_outputs(names("evaluation_results"), names("candidates"))
@@ -178,16 +184,13 @@ def image_lists(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "captions").where("image_path is not null").select("row_id", F.explode(training.image_list(listed)).alias("image"))
 
 
-_ANNOTATED = "key string, reasoning string, sci_rcot string, rendered array<string>, prompt string, retained array<string>, error string"
-
-
 def resume_twice(spark: SparkSession, d: str) -> DataFrame:
     """A run over even rows, then over all: the second calls the model for the rest only."""
     tasks = _tasks(spark, d).dropDuplicates(["key"])
     path = f"{run_folder(spark)}/annotations-{uuid.uuid4().hex}"
     stage = lambda t: models.annotate(t, models.StubClient, models.Retry(1))
-    resume.run_once(tasks.where(F.crc32("key") % 2 == 0), path, stage, _ANNOTATED)
-    return resume.run_once(tasks, path, stage, _ANNOTATED, flush=100).select("key", "prompt")
+    resume.run_once(tasks.where(F.crc32("key") % 2 == 0), path, stage, models.ANNOTATED)
+    return resume.run_once(tasks, path, stage, models.ANNOTATED, flush=Settings.of(spark).flush).select("key", "prompt")
 
 
 def run_counters(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +203,7 @@ def streaming_resume(spark: SparkSession, d: str) -> DataFrame:
     root = f"{run_folder(spark)}/stream-{uuid.uuid4().hex}"
     tasks = _tasks(spark, d).dropDuplicates(["key"]).select("key")
     for part in (0, 1):
-        tasks.where(F.crc32("key") % 2 == part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        tasks.where(F.length("key") % 2 == part).coalesce(1).write.mode("append").parquet(f"{root}/in")
         stream.run_available(spark, f"{root}/in", "key string", lambda b: models.classify(b, models.StubClient, models.Retry(1)), f"{root}/out", f"{root}/check")
     return spark.read.parquet(f"{root}/out").select("key", "epoch")
 
@@ -265,7 +268,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sft_format, sft_mask_truncate, generated_suffix, train_test_split, train_export_without_benchmark, size_constraint, classify_stub, annotate_stub,
-        checklist_stub, judge_stub, judge_sensitivity, keep_stub, generate_stub, tasks_per_label, task_keys, append_outputs, preview_first, source_json, source_version,
+        checklist_stub, judge_stub, judge_sensitivity, keep_stub, generate_stub, tasks_per_label, task_keys, prompt_templates, append_outputs, preview_first, source_json, source_version,
         data_urls, training_dataset, image_lists, resume_twice, run_counters, streaming_resume, pad_color, standardise_image, image_sizes, detect_stub, pixel_crop,
     )
 }
@@ -297,6 +300,14 @@ select row_id, place, cast(floor(w * k / 16) * 16 as integer) as width, cast(flo
     "run_counters": """
 with c as (select distinct image_filename as k from evaluation_results where image_filename is not null)
 select count(*) as total, count(c.k) as cached, count(*) - count(c.k) as pending from candidates left join c on image_filename = c.k""",
+    "streaming_resume": """
+with m as (select coalesce(nullif(local_path, ''), nullif(image_path, '')) as own, segments from metadata),
+s as (select unnest(segments) as s from m where len(segments) > 0),
+k as (select coalesce(nullif(s.path, ''), nullif(s.filename, '')) as key from s where s is not null union select own from m where coalesce(len(segments), 0) = 0)
+select key, cast(length(key) % 2 as integer) as epoch from k where key is not null""",
+    "prompt_templates": """
+select row_id, 'Title: ' || figure_title || '; caption: ' || figure_caption || '.' as text,
+  case when figure_title is null then 'missing title' when figure_caption is null then 'missing caption' end as error from metadata""",
     "append_outputs": "select image_filename as key from evaluation_results union all select image_filename from candidates",
     "preview_first": "select row_id, science_abstract_prompt from captions order by row_id limit 3",
     "source_json": "select row_id, image_filename, error, coalesce(mode, 'none') as mode from evaluation_results",

@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from figloom.functions import jsonclean
-from figloom.operators import images, models, resume, sampling, segments, select, stats
+from figloom.operators import checklist, images, models, resume, sampling, segments, select, stats
 from figloom.session import durable, forget, release, run_folder
+from figloom.settings import Settings
 from figloom.sources import files
 
 
@@ -194,3 +195,22 @@ def test_durable_tables_can_be_given_up(spark):
     with pytest.raises(Exception):  # noqa: B017
         b.count()
     assert durable(spark.range(5)).count() == 5
+
+
+def test_settings_come_from_session_and_environment(spark, monkeypatch):
+    assert Settings.of() == Settings()
+    spark.conf.set("spark.figloom.threads", "3")
+    monkeypatch.setenv("FIGLOOM_IQR_SLACK", "0.5")
+    assert (Settings.of(spark).threads, Settings.of(spark).iqr_slack) == (3, 0.5)
+    monkeypatch.setenv("FIGLOOM_THREADS", "many")
+    with pytest.raises(ValueError, match="threads is no int"):
+        Settings.of(spark)
+    spark.conf.unset("spark.figloom.threads")
+
+
+def test_json_text_and_templates(spark):
+    df = spark.createDataFrame([({"k": "é😀"}, "x", None), ({"k": "plain"}, "y \"q\"", "z")], "m map<string,string>, a string, b string")
+    got = df.select(checklist.json_text(F.col("m")).alias("u"), checklist.json_text(F.col("m"), True).alias("t"), checklist.fill_template("{a}-{b}", {"a": F.col("a"), "b": F.col("b")}).alias("f")).collect()
+    assert [r["u"] for r in got] == ['{"k":"é😀"}', '{"k":"plain"}']
+    assert json.loads(got[0]["t"]) == {"k": "é😀"} and got[0]["t"].isascii() and got[0]["t"] == json.dumps({"k": "é😀"}, separators=(",", ":"))
+    assert tuple(got[0]["f"]) == (None, "missing b") and tuple(got[1]["f"]) == ('y "q"-z', None)
