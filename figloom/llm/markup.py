@@ -280,7 +280,7 @@ class Labeller:
         loss = -np.log(q[np.arange(n), labels] + 1e-12).mean()
         q[np.arange(n), labels] -= 1
         q /= n
-        g = {k: np.zeros_like(v) for k, v in self.p.items()}
+        g = {k: np.zeros_like(v) for k, v in self.p.items() if k not in ("path", "word")}
         g["O"], g["o"] = top.T @ q, q.sum(0)
         back = q @ self.p["O"].T
         dx = np.zeros_like(x)
@@ -302,16 +302,21 @@ class Labeller:
                 dh = dh * (1 - m) + dz[:, 2 * DIM :]
                 ds = ds * (1 - m) + dcell * f
         dflat = dx[where]
+        adam["t"] = adam.get("t", 0) + 1
+        every = slice(None)
+        parts = [(k, every, v) for k, v in g.items()]
         for lo, name, lists in ((0, "path", paths), (DIM, "word", bags)):
             own, sizes, words = _flat(lists)
-            np.add.at(g[name], words, (dflat[:, lo : lo + DIM] / sizes[:, None])[own])
-        adam["t"] = adam.get("t", 0) + 1
-        for k, v in g.items():
-            m1 = adam.setdefault("m" + k, np.zeros_like(v))
-            m2 = adam.setdefault("v" + k, np.zeros_like(v))
-            m1 += 0.1 * (v - m1)
-            m2 += 0.001 * (v * v - m2)
-            self.p[k] -= rate * (m1 / (1 - 0.9 ** adam["t"])) / (np.sqrt(m2 / (1 - 0.999 ** adam["t"])) + 1e-8)
+            rows, at = np.unique(words, return_inverse=True)  # only the vectors of this batch move
+            grad = np.zeros((len(rows), DIM))
+            np.add.at(grad, at, (dflat[:, lo : lo + DIM] / sizes[:, None])[own])
+            parts.append((name, rows, grad))
+        for k, rows, v in parts:
+            m1 = adam.setdefault("m" + k, np.zeros_like(self.p[k]))
+            m2 = adam.setdefault("v" + k, np.zeros_like(self.p[k]))
+            m1[rows] += 0.1 * (v - m1[rows])
+            m2[rows] += 0.001 * (v * v - m2[rows])
+            self.p[k][rows] -= rate * (m1[rows] / (1 - 0.9 ** adam["t"])) / (np.sqrt(m2[rows] / (1 - 0.999 ** adam["t"])) + 1e-8)
         return float(loss)
 
     def label(self, seqs: list[list[Block]]) -> list[list[str]]:
