@@ -176,6 +176,8 @@ def linked_groups(candidates: DataFrame) -> DataFrame:
     every = (*KEYS, ID_KEY)
     nodes = durable(components(records, every), "nodes")
     placed = durable(attach(records, every, nodes).where("component is not null").select("component", "candidate_id", "source_key"), "placed")
+    release(records)
+    release(nodes)
     groups = placed.groupBy("component").agg(
         F.min("candidate_id").alias("group_first_id"), F.min("source_key").alias("_least"), F.max("source_key").alias("_most")
     ).where("_least <> _most")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from figloom.session import durable
+from figloom.session import durable, release
 
 LOST = "�"
 #: Code pages by Python's names; a chain is (name, true encoding, wrong encoding, times applied).
@@ -447,7 +447,10 @@ def garbled_units(found: DataFrame) -> DataFrame:
     )
     walked = runs.where(F.length("unit") >= 8).select("unit", "k1", "k2").mapInPandas(_walked, "k1 bigint, k2 int, piece string, original string, chain string")
     walked = walked.select("k1", "k2", F.lit("run").alias("kind"), "piece", "original", "chain", F.lit(True).alias("sure"), F.lit(True).alias("counted"))
-    return hits.select(names).unionByName(lost).unionByName(walked)
+    out = durable(hits.select(names).unionByName(lost).unionByName(walked), "hits")
+    for done in (counts, originals, tokens, met):
+        release(done)
+    return out
 
 
 def _agreed(found: DataFrame, hits: DataFrame) -> DataFrame:
@@ -466,7 +469,7 @@ def affected(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -
     Null, empty and pure ASCII texts have none. Texts are read whole; equal texts under several ids are each listed.
     """
     found = durable(units(documents, id_col, text), "found")
-    return _agreed(found, durable(garbled_units(found), "hits"))
+    return _agreed(found, garbled_units(found))
 
 
 def found_ids(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
