@@ -41,7 +41,7 @@ DEFECTS = ("empty", "refusal", "copy", "wrong_language", "truncated")
 #: Answers that hold the place of one.
 PLACEHOLDERS = frozenset("n/a|na|n.a.|none|null|nil|nan|tbd|todo|tba|empty|undefined|no answer|no output|placeholder|keine|aucun|aucune|k.a.|无|暂无|没有".split("|"))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？｡؟])|\n+")
-_QUOTED = re.compile(r"\"[^\"\n]{0,80}\"|“[^”\n]{0,80}”|«[^»\n]{0,80}»|„[^“”\n]{0,80}[“”]|「[^」\n]{0,80}」")
+_QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]|「[^」\n]*」")
 _INVISIBLE = re.compile(r"[\s​-‏‪-‮⁠-⁤﻿­\x00-\x1f\x7f-\x9f᠎⠀ㅤ]+")
 _CLOSERS = "\"'”’»“)]}）】」』*_`"
 _OPENERS = "([{（【「『„"
