@@ -5,11 +5,13 @@ import threading
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from figloom.functions import jsonclean
 from figloom.operators import checklist, images, models, resume, sampling, segments, select, stats
+from figloom.plans import stages
 from figloom.session import durable, forget, release, run_folder
 from figloom.settings import Settings
 from figloom.sources import files
@@ -214,3 +216,29 @@ def test_json_text_and_templates(spark):
     assert [r["u"] for r in got] == ['{"k":"é😀"}', '{"k":"plain"}']
     assert json.loads(got[0]["t"]) == {"k": "é😀"} and got[0]["t"].isascii() and got[0]["t"] == json.dumps({"k": "é😀"}, separators=(",", ":"))
     assert tuple(got[0]["f"]) == (None, "missing b") and tuple(got[1]["f"]) == ('y "q"-z', None)
+
+
+def test_detection_decodes_one_batch_at_a_time(spark):
+    page = bytearray(images.encode_png(np.zeros((1000, 1000, 3), np.uint8)))
+    df = spark.range(500, numPartitions=1).select(F.col("id").cast("string").alias("image_id"), F.lit(page).alias("content"))
+
+    def held():
+        def mb():
+            with open("/proc/self/status") as f:
+                return float(next(x for x in f if x.startswith("VmRSS")).split()[1]) / 1024
+
+        return lambda pages: [[("x", 0.5, mb(), 0.0, 0.0, 0.0)] for _ in pages]
+
+    got = images.detect(df, held).collect()
+    assert len(got) == 500 and max(r["x1"] for r in got) < 700  # 1,500 MB when all are decoded first
+
+
+def test_pages_are_handed_on_in_parts(monkeypatch):
+    monkeypatch.setattr(images, "PART", 50_000)
+    sizes = pd.DataFrame({"name": [str(i) for i in range(60)], "w": [400 + i for i in range(60)], "h": [300] * 60})
+    parts = list(stages.drawn(iter([sizes, sizes[:0], sizes[:1]])))
+    assert len(parts) > 3 and [n for p in parts for n in p["name"]] == [*sizes["name"], "0"]
+    assert all(sum(map(len, p["content"])) < 80_000 for p in parts)
+    px = images.decode_png(parts[0]["content"][3])
+    y, x = np.mgrid[0:300, 0:403]
+    assert px.shape == (300, 403, 3) and (px == np.dstack([x * 7 % 256, y * 5 % 256, (x + y) % 256])).all()
