@@ -4,6 +4,7 @@ import json
 import threading
 import time
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -242,3 +243,20 @@ def test_pages_are_handed_on_in_parts(monkeypatch):
     px = images.decode_png(parts[0]["content"][3])
     y, x = np.mgrid[0:300, 0:403]
     assert px.shape == (300, 403, 3) and (px == np.dstack([x * 7 % 256, y * 5 % 256, (x + y) % 256])).all()
+
+
+def _sized(spark, path, sizes):
+    """The folder of a metadata table with one figure whose segments have these sizes."""
+    segs = ", ".join(f"named_struct('width', {w}, 'height', {h})" for w, h in sizes)
+    spark.sql(f"select 1L as row_id, array({segs}) as segments").coalesce(1).write.parquet(f"{path}/metadata.parquet")
+    return str(path)
+
+
+def test_pad_colour_of_odd_sizes_made_in_parts(spark, tmp_path):
+    d = _sized(spark, tmp_path, [(1, 1), (1, 1400), (1400, 1), (49, 1024), (1024, 49), (300, 300), (2, 3), ("null", 5), (0, 5)])
+    got = stages.pad_color(spark, d)
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()  # it answers a batch at once
+    con = duckdb.connect()
+    con.execute(f"create view metadata as select * from '{d}/metadata.parquet/*.parquet'")
+    want = con.execute(stages.ORACLE["pad_color"]).fetchall()
+    assert len(want) == 7 and sorted(map(tuple, got.collect())) == sorted(want)
