@@ -260,3 +260,12 @@ def test_pad_colour_of_odd_sizes_made_in_parts(spark, tmp_path):
     con.execute(f"create view metadata as select * from '{d}/metadata.parquet/*.parquet'")
     want = con.execute(stages.ORACLE["pad_color"]).fetchall()
     assert len(want) == 7 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_image_sizes_of_odd_pages_made_in_parts(spark, tmp_path):
+    d = _sized(spark, tmp_path, [(1, 1), (1, 1400), (1400, 1), (257, 256), ("null", 5), (0, 5), (5, -1)])
+    got = stages.image_sizes(spark, d)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "ArrowEvalPython" not in plan  # pages are drawn, and not as one answer to a batch
+    assert {tuple(r) for r in got.collect()} == {("1_0.png", 1, 1), ("1_1.png", 1, 1400), ("1_2.png", 1400, 1), ("1_3.png", 257, 256)}
+    assert len(stages.draw(1400, 1400)) < 60_000  # of 5,880,000 bytes of pixels; 1,069,519 before
