@@ -269,3 +269,17 @@ def test_image_sizes_of_odd_pages_made_in_parts(spark, tmp_path):
     assert "MapInPandas" in plan and "ArrowEvalPython" not in plan  # pages are drawn, and not as one answer to a batch
     assert {tuple(r) for r in got.collect()} == {("1_0.png", 1, 1), ("1_1.png", 1, 1400), ("1_2.png", 1400, 1), ("1_3.png", 257, 256)}
     assert len(stages.draw(1400, 1400)) < 60_000  # of 5,880,000 bytes of pixels; 1,069,519 before
+
+
+def test_quarters_are_cut_without_moving_pages(spark, tmp_path):
+    d = _sized(spark, tmp_path, [(2, 2), (3, 1400), (1400, 7), (257, 256), ("null", 5)])
+    got = stages.pixel_crop(spark, d)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "segments" in plan  # from the table itself, not from pages written between
+    assert {tuple(r) for r in got.collect()} == {("part_1_0.png", 1, 1, None), ("part_1_1.png", 1, 700, None), ("part_1_2.png", 700, 3, None), ("part_1_3.png", 128, 128, None)}
+    rng = np.random.default_rng(0).integers(0, 256, (9, 8, 4), dtype=np.uint8)
+    pics = spark.createDataFrame([("a", bytearray(images.encode_png(rng))), ("b", bytearray(b"junk"))], "image_id string, content binary")
+    boxes = spark.createDataFrame([("a", "x", 1, 2, 5, 7), ("a", "y", 3, 3, 3, 9), ("b", "z", 0, 0, 1, 1), (None, "n", 0, 0, 1, 1)], "image_id string, filename string, x1 int, y1 int, x2 int, y2 int")
+    parts = {r["name"]: r for r in images.cropped(pics, boxes).collect()}
+    assert set(parts) == {"x", "y", "z"} and (images.decode_png(bytes(parts["x"]["content"])) == rng[2:7, 1:5, :3]).all()
+    assert parts["x"]["error"] is None and "empty box" in parts["y"]["error"] and "no PNG" in parts["z"]["error"]
