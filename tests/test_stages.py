@@ -283,3 +283,33 @@ def test_quarters_are_cut_without_moving_pages(spark, tmp_path):
     parts = {r["name"]: r for r in images.cropped(pics, boxes).collect()}
     assert set(parts) == {"x", "y", "z"} and (images.decode_png(bytes(parts["x"]["content"])) == rng[2:7, 1:5, :3]).all()
     assert parts["x"]["error"] is None and "empty box" in parts["y"]["error"] and "no PNG" in parts["z"]["error"]
+
+
+def test_canvases_are_handed_on_in_parts(monkeypatch):
+    monkeypatch.setattr(images, "PART", 50_000)
+    page = images.encode_png(np.random.default_rng(1).integers(0, 256, (90, 90, 3), dtype=np.uint8))
+    asked = []
+
+    def one(r):
+        asked.append(r.name)
+        return (page,)
+
+    rows = pd.DataFrame({"name": list("abcdefghij"), "content": [page] * 10})
+    parts = images._safely(iter([rows]), one, ["name", "content", "error"])
+    assert len(next(parts)) == 3 and len(asked) == 3  # all ten before
+    assert sum(map(len, parts)) == 7
+
+
+def test_scaling_in_blocks_equals_the_whole_product():
+    def whole(n, m, a=3):
+        scale = max(1.0, n / m)
+        x = (np.arange(n)[None, :] + 0.5 - ((np.arange(m) + 0.5) * n / m)[:, None]) / scale
+        w = np.where(np.abs(x) < a, np.sinc(x) * np.sinc(x / a), 0.0)
+        return w / w.sum(axis=1, keepdims=True)
+
+    rng = np.random.default_rng(2)
+    for h, w, nh, nw in ((90, 70, 300, 233), (400, 500, 40, 50), (1, 1, 130, 130), (64, 7, 64, 300), (130, 129, 1, 2), (300, 2, 150, 1), (1400, 3, 1024, 2)):
+        px = rng.integers(0, 256, (h, w, 3), dtype=np.uint8)
+        want = np.einsum("mh,nw,hwc->mnc", whole(h, nh), whole(w, nw), px.astype(np.float64), optimize=True)
+        got = images.resize(px, nw, nh)
+        assert got.shape == (nh, nw, 3) and np.abs(got - np.clip(want, 0, 255)).max() <= 0.5 + 1e-9
