@@ -3,6 +3,7 @@
 import json
 import threading
 import time
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -271,6 +272,28 @@ def test_image_sizes_of_odd_pages_made_in_parts(spark, tmp_path):
     assert len(stages.draw(1400, 1400)) < 60_000  # of 5,880,000 bytes of pixels; 1,069,519 before
 
 
+def test_pages_are_drawn_without_laying_them_out(spark, tmp_path):
+    tracemalloc.start()
+    try:
+        large = stages.draw(6000, 6000)
+        assert tracemalloc.get_traced_memory()[1] < 10 << 20  # 218 MB when its pixels and its rows were laid out
+    finally:
+        tracemalloc.stop()
+    sizes = [(1, 1), (1, 1400), (1400, 1), (2, 2), (255, 129), (256, 257), (764, 513), (50_000, 3), (3, 50_000)]
+    pages = {f"{w}_{h}.png": (w, h, stages.draw(w, h)) for w, h in [*sizes, (6000, 6000)]}
+    assert pages["6000_6000.png"][2] == large
+    for name, (w, h, page) in pages.items():
+        y, x = np.ogrid[:h, :w]
+        assert (images.decode_png(page) == np.dstack(np.broadcast_arrays(x * 7 % 256, y * 5 % 256, (x + y) % 256))).all(), (w, h)
+        if max(w, h) < 2000:
+            (tmp_path / name).write_bytes(page)
+    got = files.read_pixels(spark, str(tmp_path)).collect()  # by the JVM's decoder, which takes the checksums
+    assert len(got) == 7
+    for r in got:
+        w, h, page = pages[r["name"]]
+        assert (r["width"], r["height"]) == (w, h) and (images.decode_png(bytes(r["content"])) == images.decode_png(page)).all()
+
+
 def test_quarters_are_cut_without_moving_pages(spark, tmp_path):
     d = _sized(spark, tmp_path, [(2, 2), (3, 1400), (1400, 7), (257, 256), ("null", 5)])
     got = stages.pixel_crop(spark, d)
